@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.llm import bpe
-from arcweft.llm.common import table
+from arcweft.llm import bpe, langid
+from arcweft.llm.common import remainder, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +17,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_bpe": op2_bpe}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("_fold", remainder(F.col("doc_id"), 3))
+    model = langid.train(docs.filter("_fold <> 1 and lang is not null").select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text", F.coalesce(F.col("_fold") == 1, F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op10_language_id": op10_language_id}
