@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.llm import bpe, langid
+from arcweft.llm import bpe, langid, toxicity
 from arcweft.llm.common import remainder, table
 
 
@@ -24,4 +24,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op10_language_id": op10_language_id}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_fold", remainder(F.col("doc_id"), 5))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.filter("_fold <> 0").join(labels, "doc_id"))
+    out = toxicity.score(docs.select("doc_id", "text", F.coalesce(F.col("_fold") == 0, F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op5_toxicity": op5_toxicity, "op10_language_id": op10_language_id}
