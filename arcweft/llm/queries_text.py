@@ -1,14 +1,19 @@
-"""Queries of the operators on whole texts: op2, op5, op10."""
+"""Queries of the operators on whole pages and texts: op1, op2, op5, op10."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.llm import bpe, langid, toxicity
+from arcweft.llm import bpe, html, langid, toxicity
 from arcweft.llm.common import remainder, table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,4 +37,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_toxicity": op5_toxicity, "op10_language_id": op10_language_id}
+QUERIES = {"op1_html_text": op1_html_text, "op2_bpe": op2_bpe, "op5_toxicity": op5_toxicity, "op10_language_id": op10_language_id}
