@@ -105,14 +105,14 @@ def beside_next(docs: DataFrame) -> DataFrame:
     be looked up as the next document, of which only the needed head goes on, once to meet that head.
     """
     key = [F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")).alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")]
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *key)
-    slim = base.groupBy("_k", "_t").agg(F.max(F.length("text")).alias("_n"), F.max(F.col("doc_id").isNull()).alias("_null"))
+    base = docs.select(F.coalesce("text", F.lit("")).alias("text"), *key)  # the same columns for both joins, so that they share an exchange
+    slim = docs.groupBy(*key).agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("_n"), F.max(F.col("doc_id").isNull()).alias("_null"))
     order = ranked(slim, ["_null", "_k", "_t"])
     total = max(order.count(), 1)
-    here = order.select("_k", "_t", F.floor(F.col("_n") / 2).cast("int").alias("_need"), ((F.col("rank") + 1) % total).alias("_next"))
+    here = order.select("_k", "_t", "_null", F.floor(F.col("_n") / 2).cast("int").alias("_need"), ((F.col("rank") + 1) % total).alias("_next"))
     there = order.select(F.col("rank").alias("_next"), F.col("_k").alias("_nk"), F.col("_t").alias("_nt"))
-    wanted = here.join(there, "_next").select(F.col("_k").alias("_fk"), F.col("_t").alias("_ft"), "_need", F.col("_nk").alias("_k"), F.col("_nt").alias("_t"))
-    heads = base.join(wanted, ["_k", "_t"]).select(F.col("_fk").alias("_k"), F.col("_ft").alias("_t"), F.expr("left(text, _need)").alias("_head"), lanes(F.col("text")).alias("next_fingerprint"))
-    heads = heads.groupBy("_k", "_t").agg(F.first("_head").alias("_head"), F.first("next_fingerprint").alias("next_fingerprint"))
+    wanted = here.join(there, "_next").select(F.col("_k").alias("_fk"), F.col("_t").alias("_ft"), "_null", "_need", F.col("_nk").alias("_k"), F.col("_nt").alias("_t"))
+    heads = base.join(wanted, ["_k", "_t"]).select(F.col("_fk").alias("_k"), F.col("_ft").alias("_t"), "_null", F.expr("left(text, _need)").alias("_head"), lanes(F.col("text")).alias("next_fingerprint"))
+    heads = heads.groupBy("_k", "_t").agg(F.first("_null").alias("_null"), F.first("_head").alias("_head"), F.first("next_fingerprint").alias("next_fingerprint"))
     kept = F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))")
-    return base.join(heads, ["_k", "_t"]).select("doc_id", "text", F.concat(kept, F.col("_head")).alias("edited"), "next_fingerprint")
+    return base.join(heads, ["_k", "_t"]).select(F.when(~F.col("_null"), F.col("_k")).alias("doc_id"), "text", F.concat(kept, F.col("_head")).alias("edited"), "next_fingerprint")
