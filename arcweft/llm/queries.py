@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcweft.llm import queries_native, queries_text
+from arcweft.llm import queries_native, queries_pairs, queries_text
 
-QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES}
+QUERIES = {**queries_text.QUERIES, **queries_pairs.QUERIES, **queries_native.QUERIES}
 SQL = {**queries_native.SQL}
