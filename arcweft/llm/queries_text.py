@@ -32,7 +32,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_fold", remainder(F.col("doc_id"), 5))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.filter("_fold <> 0").join(labels, "doc_id"))
+    model = toxicity.train(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0))
     out = toxicity.score(docs.select("doc_id", "text", F.coalesce(F.col("_fold") == 0, F.lit(False)).alias("held_out")), model)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
 

@@ -10,7 +10,7 @@ is; a feature is toxic if documents that have it are labelled toxic so often tha
 ratio over `EVIDENCE`) and at least `PURITY` of them. All other tokens are labelled clean. The field is then fitted to
 these tokens by its likelihood's gradient, and the logistic function to documents that took no part in that.
 
-Learning uses a bounded sample: up to `PER_LABEL` rows of each label, drawn by a hash of the id. Scoring reads whole
+Learning uses a bounded sample: about `PER_LABEL` toxic rows and twice as many clean ones, drawn by a hash of the id. Scoring reads whole
 texts. Null and empty texts, and texts without letters, have no tokens: they get the score of a marginal sum of 0 and no
 spans. Without labelled rows of both labels every score is the share of toxic rows (0 without any). Ids may repeat.
 """
@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,14 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import cut
-
-#: Documented bound of the sample: rows of each label; and words of a chain.
-PER_LABEL, CHAIN = 3000, 256
+#: Documented bound of the sample: toxic rows, and half the number of clean ones; and words of a chain.
+PER_LABEL, CHAIN = 2000, 256
 #: When a feature counts as toxic: log-likelihood ratio, and share of toxic documents among those that have it.
 EVIDENCE, PURITY = 12.0, 0.8
 #: Steps of fitting, penalty on squared weights, words whose weights a worker keeps.
-STEPS, PENALTY, KEPT = 60, 1e-6, 400_000
+STEPS, PENALTY, KEPT = 50, 1e-6, 300_000
 TOKENS = re.compile(r"[^\W\d_]+|\n")
 LINE = "\n"
 
@@ -81,10 +78,12 @@ def marginals(speak: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs:
     if pairs and steps > 1:
         first = np.ones(len(x), bool)
         first[starts] = False
-        i = np.nonzero(first)[0]
-        ahead = x[i] * backward[i]
-        joint = np.stack([np.full(len(i), a[0, 0]), a[0, 1] * ahead, forward[i - 1] * a[1, 0], forward[i - 1] * a[1, 1] * ahead])
-        expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
+        later = np.nonzero(first)[0]
+        for at in range(0, len(later), 1 << 17):
+            i = later[at : at + (1 << 17)]
+            ahead = x[i] * backward[i]
+            joint = np.stack([np.full(len(i), a[0, 0]), a[0, 1] * ahead, forward[i - 1] * a[1, 0], forward[i - 1] * a[1, 1] * ahead])
+            expected += (joint / joint.sum(0)).sum(1).reshape(2, 2)
     return odds / (1 + odds), expected
 
 
@@ -166,20 +165,48 @@ class Scorer:
         return found
 
 
-def _toxic_features(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that toxic documents have far more often than chance allows."""
-    have, bad = Counter(), Counter()
-    for fs, y in zip(docs, toxic, strict=True):
-        have.update(fs)
-        if y:
-            bad.update(fs)
-    share = float(toxic.mean())
-
-    def ratio(n: int, k: int) -> float:
-        part = lambda c, q: c * math.log(q) if c else 0.0
-        return 2 * (part(k, k / n / share) + part(n - k, (n - k) / n / (1 - share)))
-
-    return {f for f, k in bad.items() if k >= 2 and k >= PURITY * have[f] and ratio(have[f], k) >= EVIDENCE}
+class _Corpus:
+    """Sampled texts as numbers: word ids and line lengths of each text, and the feature ids of each word (as one array)."""
+
+    def __init__(self, texts: list[str | None], mark: list[int]):
+        """Only features that a text with a mark has can turn out toxic; words keep those alone, which bounds the tables."""
+        vocabulary: dict[str, int] = {}
+        self.words: list[np.ndarray] = []
+        self.lines: list[np.ndarray] = []
+        for t in texts:
+            words, lengths = lines_of(t)
+            self.words.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+            self.lines.append(np.array(lengths, np.int64))
+        index: dict[str, int] = {}
+        marked = np.zeros(len(vocabulary), bool)
+        for words, m in zip(self.words, mark, strict=True):
+            if m:
+                marked[words] = True
+        found = [[index.setdefault(f, len(index)) for f in features(w)] if m else w for w, m in zip(vocabulary, marked, strict=True)]
+        found = [[index[f] for f in features(fs) if f in index] if isinstance(fs, str) else fs for fs in found]
+        self.count = np.array([len(fs) for fs in found], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.feature = np.fromiter((f for fs in found for f in fs), np.int32, int(self.count.sum()))
+        self.names = list(index)
+
+    def features_of(self, words: np.ndarray) -> np.ndarray:
+        """Feature ids of some words, one after the other."""
+        n = self.count[words]
+        return self.feature[np.repeat(self.start[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _toxic_features(corpus: _Corpus, learn: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each feature, whether toxic documents have it far more often than chance allows."""
+    have, bad = np.zeros(len(corpus.names)), np.zeros(len(corpus.names))
+    for i in learn:
+        own = np.unique(corpus.features_of(np.unique(corpus.words[i])))
+        have[own] += 1
+        bad[own] += toxic[i]
+    share = float(toxic[learn].mean())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda c, q: np.where(c > 0, c * np.log(q), 0.0)
+        ratio = 2 * (part(bad, bad / have / share) + part(have - bad, (have - bad) / have / (1 - share)))
+        return (bad >= 2) & (bad >= PURITY * have) & (ratio >= EVIDENCE)
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
@@ -187,68 +214,50 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         return Model(fallback=float(y.mean()) if len(y) else 0.0)
-    split = [lines_of(t) for t, _ in rows]
+    corpus = _Corpus([t for t, _ in rows], [label for _, label in rows])
     kept_out = np.zeros(len(rows), bool)
     for label in (0, 1):
         kept_out[np.nonzero(y == label)[0][2::3]] = True
     learn = np.nonzero(~kept_out)[0]
-    by_word: dict[str, list[str]] = {}
-    for words, _ in split:
-        for w in words:
-            if w not in by_word:
-                by_word[w] = features(w)
-    toxic = _toxic_features([{f for w in set(split[i][0]) for f in by_word[w]} for i in learn], y[learn]) if len(set(y[learn])) == 2 else set()
     model = Model()
-    if toxic:
-        _fit_field(model, [split[i] for i in learn], y[learn], by_word, toxic)
+    if len(set(y[learn])) == 2 and (toxic := _toxic_features(corpus, learn, y)).any():
+        _fit_field(model, corpus, learn, y, toxic)
     use = np.nonzero(kept_out)[0] if len(set(y[kept_out])) == 2 else np.arange(len(rows))
-    scorer = Scorer(model)
+    weight = np.array([model.weights.get(f, 0.0) for f in corpus.names])
+    speak = model.bias + np.bincount(np.repeat(np.arange(len(corpus.count)), corpus.count), weight[corpus.feature], len(corpus.count))
     stats = []
     for i in use:
-        words, lengths = split[i]
-        p, _ = marginals(np.array([scorer.model.speak(w) for w in words]), np.array(lengths, np.int64), model.moves)
+        p, _ = marginals(speak[corpus.words[i]], corpus.lines[i], model.moves)
         stats.append((math.log1p(p.sum()), p.max() if len(p) else 0.0))
     model.scale = _logistic(np.array(stats), y[use])
     return model
 
 
-def _fit_field(model: Model, split: list[tuple[list[str], list[int]]], y: np.ndarray, by_word: dict[str, list[str]], toxic: set[str]) -> None:
+def _fit_field(model: Model, corpus: _Corpus, learn: np.ndarray, y: np.ndarray, toxic: np.ndarray) -> None:
     """Gradient steps (with per-weight step sizes) on the log likelihood of the labelled tokens."""
-    words = [w for ws, _ in split for w in ws]
-    lengths = np.array([n for _, ns in split for n in ns], np.int64)
-    names = sorted({w for w in words})
-    number = {w: i for i, w in enumerate(names)}
-    count = Counter(f for w in names for f in by_word[w])
-    index = {f: i for i, f in enumerate(sorted(f for f, c in count.items() if c >= 2 or f in toxic))}
-    token = np.fromiter((number[w] for w in words), np.int64, len(words))
-    owner, feature = [], []
-    for i, w in enumerate(names):
-        for f in by_word[w]:
-            if f in index:
-                owner.append(i)
-                feature.append(index[f])
-    owner_, feature_ = np.array(owner, np.int64), np.array(feature, np.int64)
-    is_toxic = np.fromiter((any(f in toxic for f in by_word[w]) for w in names), float, len(names))
-    label = is_toxic[token] * np.repeat(y, [len(ws) for ws, _ in split])
-    wrong_side = np.zeros((2, 2))
-    starts, _ = chains(lengths)
-    later = np.ones(len(words), bool)
-    later[starts] = False
-    i = np.nonzero(later)[0]
-    np.add.at(wrong_side, (label[i - 1].astype(int), label[i].astype(int)), 1)
-    weight, bias, moves = np.zeros(len(index)), -4.0, np.zeros((2, 2))
-    seen = [np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    token = np.concatenate([corpus.words[i] for i in learn])
+    lengths = np.concatenate([corpus.lines[i] for i in learn])
+    n_words, owner, feature = len(corpus.count), np.repeat(np.arange(len(corpus.count)), corpus.count), corpus.feature
+    seldom = (np.bincount(feature, minlength=len(toxic)) < 2) & ~toxic  # names of one word only say what the word says
+    is_toxic = np.bincount(owner, toxic[feature], n_words) > 0
+    label = is_toxic[token] * np.repeat(y[learn], [len(corpus.words[i]) for i in learn])
+    observed = np.zeros((2, 2))
+    first = np.zeros(len(token), bool)
+    first[chains(lengths)[0]] = True
+    later = np.nonzero(~first)[0]
+    np.add.at(observed, (label[later - 1].astype(int), label[later].astype(int)), 1)
+    weight, bias, moves = np.zeros(len(toxic)), -4.0, np.zeros((2, 2))
+    seen = [np.full(len(toxic), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     for _ in range(STEPS):
-        per_word = bias + np.bincount(owner_, weight[feature_], len(names))
+        per_word = bias + np.bincount(owner, weight[feature], n_words)
         p, expected = marginals(per_word[token], lengths, moves, pairs=True)
-        short = np.bincount(token, label - p, len(names))
-        gradient = [np.bincount(feature_, short[owner_], len(index)) - PENALTY * weight * len(words), float(short.sum()), wrong_side - expected]
-        for k, g in enumerate(gradient):
-            seen[k] = seen[k] + g * g
+        short = np.bincount(token, label - p, n_words)
+        gradient = [np.where(seldom, 0.0, np.bincount(feature, short[owner], len(toxic)) - PENALTY * weight * len(token)), float(short.sum()), observed - expected]
+        seen = [s + g * g for s, g in zip(seen, gradient, strict=True)]
         weight = weight + gradient[0] / np.sqrt(seen[0])
         bias += 0.5 * gradient[1] / math.sqrt(seen[1])
         moves = moves + 0.2 * gradient[2] / np.sqrt(seen[2])
-    model.weights = {f: float(weight[k]) for f, k in index.items() if abs(weight[k]) > 1e-3}
+    model.weights = {corpus.names[k]: float(weight[k]) for k in np.nonzero(np.abs(weight) > 1e-3)[0]}
     model.bias, model.moves = float(bias), moves
 
 
@@ -263,12 +272,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(beta[0]), float(beta[1]), float(beta[2])
 
 
-def train(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """A model from rows of (doc_id, text, toxic). What comes to the driver is bounded by the sample."""
-    rows = labelled.select("text", "toxic", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_h")).filter("toxic in (0, 1)")
-    rows = rows.join(F.broadcast(rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("_n"))), "toxic")  # two rows
-    drawn = rows.filter(F.col("_h") < F.lit(float(per_label * (1 << 20))) / F.col("_n"))
-    return fit([(r.text, int(r.toxic)) for r in sorted(cut(drawn.select("_h", "text", "toxic")).collect(), key=lambda r: (r._h, r.text or ""))])
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    """A model from texts (doc_id, text) and labels (doc_id, toxic).
+
+    The sample is drawn from the slim labels, so that only its rows, which are bounded, meet the texts and come to the
+    driver. Labels other than 0 and 1, and labels whose id has no text, play no part.
+    """
+    known = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    shares = {r.toxic: (2 - r.toxic) * per_label * (1 << 20) / r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    drawn = known.filter(F.when(F.col("toxic") == 1, F.col("_h") < shares.get(1, 0.0)).otherwise(F.col("_h") < shares.get(0, 0.0)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("_h", "doc_id", "text", "toxic").collect()
+    return fit([(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: (r._h, r.doc_id, r.text or "", r.toxic))])
 
 
 _scorers: dict[str, Scorer] = {}
