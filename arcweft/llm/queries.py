@@ -5,4 +5,4 @@ from __future__ import annotations
 from arcweft.llm import queries_native, queries_pairs, queries_text
 
 QUERIES = {**queries_text.QUERIES, **queries_pairs.QUERIES, **queries_native.QUERIES}
-SQL = {**queries_native.SQL}
+SQL = {**queries_native.SQL, **queries_pairs.SQL}
