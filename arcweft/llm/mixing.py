@@ -44,7 +44,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     everyone = Window.partitionBy(F.lit(0))
     level = by_source.withColumn("level", (F.sum("source_size").over(everyone) * share - before) / rest)
     fits = F.col("bound") >= F.col("level") * F.col("weight")
-    level = level.withColumn("level", F.min(F.when(fits, F.col("level"))).over(everyone))
+    level = level.withColumn("level", F.max(F.when(fits, F.col("level"))).over(everyone))  # levels only sink from the first that fits on
     target = F.least(F.col("bound"), F.coalesce(F.col("level") * F.col("weight"), F.col("bound")))
     return level.select("source", "source_size", target.alias("target"))
 
