@@ -48,9 +48,13 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
     A row is drawn if the hash of its id and text lies under the language's share; a fifth of them is for calibration.
     """
-    rows = labelled.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_h")).filter("lang is not null and text is not null")
-    shares = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select("lang", (F.lit(float(per_language * (1 << 20))) / F.col("_n")).alias("_under"))
-    return rows.join(shares, "lang").filter("_h < _under").select("lang", "text", (F.col("_h") % 5 == 0).alias("calibrate"))
+    rows = labelled.filter("lang is not null and text is not null")
+    shares = {r.lang: per_language * (1 << 20) / r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if not shares:
+        return rows.select("lang", "text", F.lit(False).alias("calibrate"))
+    under = F.create_map(*[F.lit(x) for item in sorted(shares.items()) for x in item])[F.col("lang")]
+    drawn = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_h")).filter(F.col("_h") < under)
+    return drawn.select("lang", "text", (F.col("_h") % 5 == 0).alias("calibrate"))
 
 
 def _ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
