@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker keeps: two generations of this many.
 KEPT = 1 << 18
-#: Rank of a pair that has no merge; positions take the low bits of a leaf.
-NEVER, SHIFT = 1 << 62, 40
+#: Rows that are encoded and decoded before they go back to Spark.
+SLICE = 1000
+#: Rank of a pair that has no merge; bits for the position in a leaf, of long pieces and of those whose leaves stay small.
+NEVER, SHIFT, SHORT = (1 << 17) - 1, 40, 12
 
 
 def byte_symbols() -> dict[int, str]:
@@ -37,26 +39,29 @@ def byte_symbols() -> dict[int, str]:
 
 
 class RankTree:
-    """Minimum of (rank, position) over the pairs of a piece; leaves change one at a time."""
+    """Minimum of (rank, position) over the pairs of a piece; leaves change one at a time, `node[1]` is the root."""
 
-    def __init__(self, leaves: list[int]):
-        self.width = width = 1 << max(len(leaves) - 1, 0).bit_length()
-        self.node = node = [NEVER] * width + leaves + [NEVER] * (width - len(leaves))
-        for i in range(width - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a < b else b
+    __slots__ = ("node", "width")
+
+    def __init__(self, leaves: list[int], never: int):
+        self.width = width = 1 << (len(leaves) - 1).bit_length()
+        node = leaves + [never] * (width - len(leaves))
+        level = node
+        while len(level) > 1:  # from the leaves to the root, each level before the one below it
+            level = [a if a < b else b for a, b in zip(level[::2], level[1::2])]
+            node = level + node
+        self.node = [never, *node]
 
     def set(self, leaf: int, value: int) -> None:
         node, i = self.node, leaf + self.width
-        node[i] = value
-        while i > 1:
-            other = node[i ^ 1]
-            i >>= 1
-            if other < value:
-                value = other
+        while i:
             if node[i] == value:
                 return
             node[i] = value
+            other = node[i ^ 1]
+            if other < value:
+                value = other
+            i >>= 1
 
 
 class Tokenizer:
@@ -69,10 +74,12 @@ class Tokenizer:
         back = {s: b for b, s in symbols.items()}
         ids = model["vocab"]
         self.first = [ids[symbols[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}  # by pair of ids: rank and merged id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        if len(model["merges"]) >= NEVER:
+            raise ValueError("more merges than ranks")
         self.bytes = {i: bytes(back[c] for c in s) for s, i in ids.items()}
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.bytes |= {i: s.encode() for s, i in self.added.items()}
@@ -82,29 +89,35 @@ class Tokenizer:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece, by merges over a segment tree."""
-        part, n, merges = [self.first[b] for b in piece], len(piece), self.merges
+        part, n, get = [self.first[b] for b in piece], len(piece), self.merges.get
         if n < 2:
             return part
-        pairs = [merges.get(p) for p in zip(part, part[1:])]
-        tree = RankTree([NEVER if m is None else m[0] << SHIFT | i for i, m in enumerate(pairs)])
-        node, after, before = tree.node, list(range(1, n + 1)), list(range(-1, n - 1))
-        while (least := node[1]) < NEVER:
-            i = least & (1 << SHIFT) - 1
+        shift = SHORT if n < 1 << SHORT else SHIFT
+        low, never = (1 << shift) - 1, NEVER << shift
+        leaves, i = [], 0
+        for pair in zip(part, part[1:]):
+            m = get(pair)
+            leaves.append(never if m is None else m[0] << shift | i)
+            i += 1
+        tree = RankTree(leaves, never)
+        node, put, after, before = tree.node, tree.set, list(range(1, n + 1)), list(range(-1, n - 1))
+        while (least := node[1]) < never:
+            i = least & low
             gone = after[i]
-            part[i] = merges[part[i], part[gone]][1]
+            part[i] = one = get((part[i], part[gone]))[1]
             part[gone] = -1
             after[i] = follow = after[gone]
-            if gone < n - 1:
-                tree.set(gone, NEVER)
             if follow < n:
+                put(gone, never)
                 before[follow] = i
-                m = merges.get((part[i], part[follow]))
-                tree.set(i, NEVER if m is None else m[0] << SHIFT | i)
-            else:
-                tree.set(i, NEVER)
-            if (p := before[i]) >= 0:
-                m = merges.get((part[p], part[i]))
-                tree.set(p, NEVER if m is None else m[0] << SHIFT | p)
+                m = get((one, part[follow]))
+                put(i, never if m is None else m[0] << shift | i)
+            else:  # the pair was the last one; its second part has no pair of its own
+                put(i, never)
+            p = before[i]
+            if p >= 0:
+                m = get((part[p], one))
+                put(p, never if m is None else m[0] << shift | p)
         return [x for x in part if x >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -167,8 +180,16 @@ class Codec:
                 one = _tokenizer(shared).decode
                 yield pd.Series([one(p or b"") for p in packed], dtype=object)
 
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                tokenizer = _tokenizer(shared)
+                for i in range(0, len(texts), SLICE):
+                    packed = [tokenizer.encode(t or "") for t in texts.iloc[i : i + SLICE]]
+                    yield pd.DataFrame({"ids": packed, "decoded": [tokenizer.decode(p) for p in packed]})
+
         self._encode = F.pandas_udf(encode, "binary", F.PandasUDFType.SCALAR_ITER)
         self._decode = F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR_ITER)
+        self._both = F.pandas_udf(both, "ids binary, decoded string", F.PandasUDFType.SCALAR_ITER)
 
     def encode(self, docs: DataFrame, text: str = "text", name: str = "ids") -> DataFrame:
         return docs.withColumn(name, self._encode(F.col(text)))
@@ -176,6 +197,11 @@ class Codec:
     def decode(self, docs: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
         return docs.withColumn(name, self._decode(F.col(ids)))
 
+    def round_trip(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """`docs` with ids and decoded, the text that the ids decode to, by one Python worker a task."""
+        out = docs.withColumn("_both", self._both(F.col(text)))
+        return out.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).drop("_both")
+
 
 class _Shared:
     """A broadcast with an id that is the same in every task."""

@@ -18,7 +18,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    out = codec.decode(codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
