@@ -45,6 +45,8 @@ from arcweft.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Nodes of a bucket that are compared at once; cells of a node's histogram; words and nodes that a worker remembers.
 CELL, CELLS, KEPT, SEEN = 2048, (16, 512), 300_000, 200_000
+#: Nodes (16 bytes each) that are sent to every task to find their texts, at most.
+BROADCAST = 500_000
 FIND = re.compile(WORD).findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -255,7 +257,9 @@ def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar. Only documents of nodes in pairs are read again and shingled."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = cut(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    if chosen.count() <= BROADCAST:  # else the texts are dealt out to meet their ids
+        chosen = F.broadcast(chosen)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
