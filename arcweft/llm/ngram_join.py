@@ -47,6 +47,8 @@ WORDS, PERCENT = 5, 80
 CELL, CELLS, KEPT, SEEN = 2048, (16, 512), 300_000, 200_000
 #: Nodes (16 bytes each) that are sent to every task to find their texts, at most.
 BROADCAST = 500_000
+#: Pairs that a task gathers by their first node before it passes them on.
+REMEMBERED = 200_000
 FIND = re.compile(WORD).findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -206,13 +208,13 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) across components within each bucket that the bounds allow, but for pairs with the hub.
+    """(a, partners) across components within each bucket that the bounds allow, but for pairs with the hub.
 
-    `members`: sig, node, hub, label, h, n, in order of (sig, i, j, side); a bucket of several cells comes as (i, j)
+    A pair that shares many buckets is named once by a task, as long as it remembers it. `members`: sig, node, hub, label, h, n, in order of (sig, i, j, side); a bucket of several cells comes as (i, j)
     pairs of blocks, where side tells the blocks apart.
     """
 
-    def compare(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def compare(x: pd.DataFrame, found: dict[int, set[int]]) -> None:
         node, label, n = x["node"].to_numpy(), x["label"].to_numpy(), x["n"].to_numpy()
         cells = int(x["h"].map(len).min())
         h = np.stack([_folded(b, cells) for b in x["h"]])
@@ -224,13 +226,14 @@ def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
             others = np.flatnonzero(rest & (label != label[k]) & ((side == 1) if twice else (np.arange(len(x)) > k)))
             if len(others):
                 others = others[may_link(h[others], h[k], n[others], n[k], percent)]
-            if len(others):
-                yield pd.DataFrame({"a": np.minimum(node[k], node[others]), "b": np.maximum(node[k], node[others])})
+            for b in node[others].tolist():
+                one = int(node[k])
+                found.setdefault(min(one, b), set()).add(max(one, b))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         last: tuple | None = None
-        found: list[pd.DataFrame] = []
+        found: dict[int, set[int]] = {}
         for batch in batches:
             if not len(batch):
                 continue
@@ -239,19 +242,19 @@ def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
             ends = [*starts[1:], len(batch)]
             for s, e in zip(starts, ends, strict=True):
                 if held and tuple(key[s]) != last:
-                    found += compare(pd.concat(held) if len(held) > 1 else held[0])
+                    compare(pd.concat(held) if len(held) > 1 else held[0], found)
                     held = []
                 held.append(batch.iloc[s:e])
                 last = tuple(key[s])
-            if found:
-                yield pd.concat(found)
-                found = []
+            if sum(map(len, found.values())) > REMEMBERED:
+                yield pd.DataFrame({"a": list(found), "partners": list(map(list, found.values()))})
+                found = {}
         if held:
-            found += compare(pd.concat(held) if len(held) > 1 else held[0])
+            compare(pd.concat(held) if len(held) > 1 else held[0], found)
         if found:
-            yield pd.concat(found)
+            yield pd.DataFrame({"a": list(found), "partners": list(map(list, found.values()))})
 
-    return members.mapInPandas(rows, "a long, b long")
+    return members.mapInPandas(rows, "a long, partners array<long>")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -315,7 +318,8 @@ def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
     cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j")))
     rest = rest.withColumn("_cell", F.explode(cells)).select("sig", F.col("_cell.i").alias("i"), F.col("_cell.j").alias("j"), ((F.col("_cell.i") != F.col("_cell.j")) & (block == F.col("_cell.j"))).cast("int").alias("side"), "node", "hub", "label", "h", "n")
     rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
-    more = cut(_within_buckets(rest, percent).distinct())
+    near = _within_buckets(rest, percent).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    more = cut(near.select("a", F.explode("partners").alias("b")))
     links = cut(_verified(more, members, docs, size, percent))
     root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
