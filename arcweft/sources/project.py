@@ -55,18 +55,42 @@ def local_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:
     """The same from any store that Spark reads, distributed: binaryFile for texts, folders from the paths of files."""
+    from urllib.parse import unquote, urlparse
+
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
     path = F.expr(f"substring(path, length('{base}') + 1)")
     wanted = F.col("path").rlike(r"(\.tsx?|\.gitignore)$")
     content = F.when(wanted, F.expr("if(is_valid_utf8(content), string(content), null)"))
-    files = raw.select(path.alias("path"), F.lit(False).alias("is_dir"), content.alias("content"))
+    read = raw.select(path.alias("path"), F.lit(False).alias("is_dir"), content.alias("content"))
+    # the reader leaves out empty files; the listing, which the driver holds anyway, has them
+    below = len(urlparse(base).path)
+    names = [unquote(urlparse(u).path)[below:] for u in raw.inputFiles()]
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(False).alias("is_dir"), F.lit("").alias("content"))
+    files = read.unionByName(empty).unionByName(_hidden(spark, top, below, max((n.count("/") for n in names), default=0)))
     parts = F.split("path", "/")
     folders = files.filter(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).distinct()
     return files.unionByName(folders.select("path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("content")))
 
 
+def _hidden(spark: SparkSession, top, below: int, depth: int) -> DataFrame:  # noqa: ANN001
+    """Ignore files, which Spark's listing leaves out as hidden; there are few, so that the driver reads them."""
+    jvm = spark.sparkContext._jvm
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for k in range(depth + 1):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, "*/" * k + ".gitignore")) or []:
+            stream = fs.open(status.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            rows.append((status.getPath().toUri().getPath()[below:], False, text))
+    return spark.createDataFrame(rows, FILES)
+
+
 def modules_of(files: DataFrame, root_name: str = "") -> DataFrame:
     """Files to parse, (path, content), in which no ignored path is left.
 
