@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweft.llm.common import held
+
 #: Fixed value: the byte-level split pattern that tokenizer files of this kind imply.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker keeps: two generations of this many.
-KEPT = 1 << 18
+KEPT = 1 << 17
 #: Rows that are encoded and decoded before they go back to Spark.
 SLICE = 1000
 #: Rank of a pair that has no merge; bits for the position in a leaf, of long pieces and of those whose leaves stay small.
@@ -152,14 +154,8 @@ class _Pieces(dict):
         return found
 
 
-_built: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(shared) -> Tokenizer:  # noqa: ANN001
-    if shared.id not in _built:
-        _built.clear()
-        _built[shared.id] = Tokenizer(shared.value)
-    return _built[shared.id]
+    return held(("bpe", shared.id), lambda: Tokenizer(shared.value))
 
 
 class Codec:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where rows hold whole texts: batches are counted in rows, and texts may be long.
+TEXTS_PER_BATCH = 1000
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with whole texts. Lowers the session's rows per Arrow batch to TEXTS_PER_BATCH, if it is larger."""
+    small_batches(spark)
+    return table(spark, sf_dir, name)
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_PER_BATCH:
+        spark.conf.set(key, str(TEXTS_PER_BATCH))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the folder that the cluster shares (spark.checkpoint.dir; a folder of our own only where none is set)."""
     spark = df.sparkSession
@@ -52,3 +71,26 @@ def ranked(df: DataFrame, by: Sequence[str], group: str | None = None, name: str
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: what keeps rows apart for learning and for holding out. Null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches and tasks (a model, a table of words): one thing at a time.
+
+    Workers are reused by later stages; what another operator has left behind goes first, so that memory is that of
+    the largest operator and not of all of them.
+    """
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: a process that lives on counts with what it keeps."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

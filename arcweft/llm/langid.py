@@ -28,17 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import cut
+from arcweft.llm.common import cut, give_back, held
 
 #: n-gram order, longest stretch of letters taken as one word, characters from which on length adds no certainty.
 ORDER, LONGEST, STEADY = 5, 40, 60
 #: Labelled rows of each language that the model is made from: a documented bound on the sample, not on what is scored.
 PER_LANGUAGE = 500
 #: Words whose sums a worker keeps.
-KEPT = 400_000
+KEPT = 250_000
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST).findall
 UNDETERMINED = "und"
 
@@ -175,13 +175,13 @@ def smooth(counts: dict[str, dict[str, int]]) -> Model:
     probability: list[dict[str, dict[str, float]]] = [{} for _ in range(ORDER)]
     weights: list[dict[str, dict[str, float]]] = [{} for _ in range(ORDER)]
     floors = []
+    letters = max(len({g for raw in counts.values() for g in raw if len(g) == 1}), 1)  # of all languages, so that each model shares one among them
     for lang in langs:
         raw = counts[lang]
         by_order: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
         before: Counter[str] = Counter(g[1:] for g in raw if len(g) > 1)
         for g, n in raw.items():
             by_order[len(g)][g] = n if len(g) == ORDER or g[0] == " " and len(g) > 1 else max(before.get(g, 0), 1)
-        letters = max(len(by_order[1]), 1)
         lower: dict[str, float] = {}
         floor = 1.0 / (letters + 1)
         for n in range(1, ORDER + 1):
@@ -239,9 +239,11 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for row in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(row.lang, {})[row.gram] = row.n
     model = smooth(counts)
-    held = identify(drawn.filter("calibrate"), model).filter("n_chars > 0").select("lang", "lang_pred", "n_chars", "entropy").collect()
+    del counts
+    give_back()
+    kept_out = identify(drawn.filter("calibrate"), model, name="_found").select("lang", "_found.*").filter("n_letters > 0").collect()
     for k, lang in enumerate(model.langs):
-        own = [(r.entropy, min(r.n_chars, STEADY)) for r in held if r.lang == r.lang_pred == lang]
+        own = [(r.entropy, min(r.n_letters, STEADY)) for r in kept_out if r.lang == r.lang_pred == lang]
         if len(own) >= 5:
             model.usual[k] = np.average([e for e, _ in own], weights=[n for _, n in own])
             excess = sorted((e - model.usual[k]) * math.sqrt(n) for e, n in own)
@@ -249,28 +251,23 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return model
 
 
-_scorers: dict[str, Scorer] = {}
+def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
+    """`docs` with a struct `name` (in place of a column of that name, if there is one).
 
-
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred, score, rejected, entropy (nats a character) and n_chars (scored characters)."""
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    Its fields: lang_pred, score, rejected, entropy (nats a character) and n_letters (scored characters).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     mark = uuid.uuid4().hex
 
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shared.value)
-        scorer = _scorers[mark]
+        scorer = held(mark, lambda: Scorer(shared.value))
         usual = dict(zip(scorer.model.langs, scorer.model.usual, strict=True))
         for texts in batches:
             rows = []
             for i in range(0, len(texts), 500):
                 rows += scorer.texts(list(texts.iloc[i : i + 500]))
             entropy = [x / math.sqrt(min(n, STEADY)) + usual[lang] if n else 0.0 for lang, _, _, x, n in rows]
-            yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "rejected": [r[2] for r in rows], "entropy": entropy, "n_chars": [r[4] for r in rows]})
+            yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "rejected": [r[2] for r in rows], "entropy": entropy, "n_letters": [r[4] for r in rows]})
 
-    judged_udf = F.pandas_udf(judged, "lang_pred string, score double, rejected boolean, entropy double, n_chars long", F.PandasUDFType.SCALAR_ITER)
-    out = docs.withColumn("_judged", judged_udf(F.col(text)))
-    return out.withColumns({c: F.col(f"_judged.{c}") for c in ("lang_pred", "score", "rejected", "entropy", "n_chars")}).drop("_judged")
+    judged_udf = F.pandas_udf(judged, "lang_pred string, score double, rejected boolean, entropy double, n_letters long", F.PandasUDFType.SCALAR_ITER)
+    return docs.withColumn(name, judged_udf(F.col(text)))

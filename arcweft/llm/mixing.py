@@ -66,13 +66,14 @@ def copies(sized: DataFrame, seed: str = "mix", **options: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **options: float) -> DataFrame:
-    """The mix itself: every row of `docs`, all columns, as often as it is taken."""
+    """The mix itself: every row of `docs`, all columns (whatever their names), as often as it is taken."""
     key = ["_k", "_t"]
-    keyed = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "_t": F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])})
+    whole = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
+    keyed = docs.select("doc_id", "source", "text", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_k"), whole.alias("_t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     taken = copies(sizes(keyed, *key), seed, **options)
     taken = taken.groupBy(*key).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))  # of rows equal in every column
     upto = lambda i: F.floor(F.col("_all") * i / F.col("_rows"))
-    rows = keyed.join(taken, key).withColumn("_nth", nth)
+    rows = keyed.select(*key, "_row").join(taken, key).withColumn("_nth", nth)
     rows = rows.withColumn("_copies", (upto(F.col("_nth")) - upto(F.col("_nth") - 1)).cast("int")).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import WORD, cut
+from arcweft.llm.common import WORD, cut, held
 from arcweft.llm.components import components
 
 #: Words of a shingle; similarity in percent.
@@ -63,9 +63,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
@@ -78,7 +75,7 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     words = FIND((text or "").translate(LOWER))
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("shingled words", _Words).__getitem__, words), np.uint64, len(words))
     n = min(size, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):

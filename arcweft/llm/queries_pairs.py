@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweft.llm import knn, ngram_join
-from arcweft.llm.common import table
+from arcweft.llm.common import table, texts
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.classes(texts(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op4_top_k": op4_top_k, "op8_ngram_join": op8_ngram_join}

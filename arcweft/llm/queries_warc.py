@@ -32,7 +32,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH t AS (SELECT page_id, 'WARC/1.1' || e'\r\n' || 'WARC-Type: resource' || e'\r\n'
   || 'WARC-Record-ID: <urn:md5:' || md5(coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(url, '') || chr(10) || sha256(coalesce(html, ''))) || '>' || e'\r\n'
-  || 'WARC-Date: 2024-01-01T00:00:00Z' || e'\r\n' || 'WARC-Target-URI: ' || coalesce(url, '') || e'\r\n' || 'WARC-Block-Digest: sha256:' || sha256(coalesce(html, '')) || e'\r\n'
+  || 'WARC-Date: 2024-01-01T00:00:00Z' || e'\r\n' || 'WARC-Target-URI: ' || translate(coalesce(url, ''), e'\r\n', '  ') || e'\r\n' || 'WARC-Block-Digest: sha256:' || sha256(coalesce(html, '')) || e'\r\n'
   || 'Content-Type: text/html' || e'\r\n' || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))::VARCHAR || e'\r\n\r\n' || coalesce(html, '') || e'\r\n\r\n' AS record FROM pages),
 k AS (SELECT page_id, octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest, coalesce(('0x' || substr(md5(page_id::VARCHAR), 1, 4))::INT % 50, 2) AS kind FROM t),
 p AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS LAST, digest) - 1 AS rank FROM k)

@@ -20,7 +20,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,8 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweft.llm.common import give_back, held
+
 #: Documented bound of the sample: toxic rows, and half the number of clean ones; and words of a chain.
-PER_LABEL, CHAIN = 2000, 256
+PER_LABEL, CHAIN = 1500, 256
 #: When a feature counts as toxic: log-likelihood ratio, and share of toxic documents among those that have it.
 EVIDENCE, PURITY = 12.0, 0.8
 #: Steps of fitting, penalty on squared weights, words whose weights a worker keeps.
@@ -61,7 +64,7 @@ def marginals(speak: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs:
     they are sorted by length, so that those which go on are a prefix. With `pairs` also the expected transitions.
     """
     a = np.exp(moves)
-    x = np.exp(np.clip(speak, -30, 30))
+    x = np.exp(np.clip(speak, -30, 30), dtype=np.float64)
     starts, sizes = chains(lengths)
     forward, backward = np.empty_like(x), np.ones_like(x)
     steps = int(sizes[0]) if len(sizes) else 0
@@ -73,18 +76,19 @@ def marginals(speak: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs:
         i = starts[: going[t + 1]] + t
         ahead = x[i + 1] * backward[i + 1]
         backward[i] = (a[1, 0] + a[1, 1] * ahead) / (a[0, 0] + a[0, 1] * ahead)
-    odds = forward * backward
     expected = np.zeros((2, 2))
     if pairs and steps > 1:
         first = np.ones(len(x), bool)
         first[starts] = False
         later = np.nonzero(first)[0]
-        for at in range(0, len(later), 1 << 17):
-            i = later[at : at + (1 << 17)]
+        del first
+        for at in range(0, len(later), 1 << 16):
+            i = later[at : at + (1 << 16)]
             ahead = x[i] * backward[i]
             joint = np.stack([np.full(len(i), a[0, 0]), a[0, 1] * ahead, forward[i - 1] * a[1, 0], forward[i - 1] * a[1, 1] * ahead])
             expected += (joint / joint.sum(0)).sum(1).reshape(2, 2)
-    return odds / (1 + odds), expected
+    forward *= backward
+    return forward / (1 + forward), expected
 
 
 def lines_of(text: str | None) -> tuple[list[str], list[int]]:
@@ -168,12 +172,12 @@ class Scorer:
 class _Corpus:
     """Sampled texts as numbers: word ids and line lengths of each text, and the feature ids of each word (as one array)."""
 
-    def __init__(self, texts: list[str | None], mark: list[int]):
+    def __init__(self, texts: Iterable[str | None], mark: list[int]):
         """Only features that a text with a mark has can turn out toxic; words keep those alone, which bounds the tables."""
         vocabulary: dict[str, int] = {}
         self.words: list[np.ndarray] = []
         self.lines: list[np.ndarray] = []
-        for t in texts:
+        for t in texts:  # a generator: one text's words at a time
             words, lengths = lines_of(t)
             self.words.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
             self.lines.append(np.array(lengths, np.int64))
@@ -182,11 +186,18 @@ class _Corpus:
         for words, m in zip(self.words, mark, strict=True):
             if m:
                 marked[words] = True
-        found = [[index.setdefault(f, len(index)) for f in features(w)] if m else w for w, m in zip(vocabulary, marked, strict=True)]
-        found = [[index[f] for f in features(fs) if f in index] if isinstance(fs, str) else fs for fs in found]
-        self.count = np.array([len(fs) for fs in found], np.int64)
+        for w, m in zip(vocabulary, marked, strict=True):
+            if m:
+                for f in features(w):
+                    index.setdefault(f, len(index))
+        self.count = np.zeros(len(vocabulary), np.int64)
+        chosen = array("i")
+        for k, w in enumerate(vocabulary):
+            own = [index[f] for f in features(w) if f in index]
+            self.count[k] = len(own)
+            chosen.extend(own)
         self.start = np.cumsum(self.count) - self.count
-        self.feature = np.fromiter((f for fs in found for f in fs), np.int32, int(self.count.sum()))
+        self.feature = np.frombuffer(chosen, np.int32)
         self.names = list(index)
 
     def features_of(self, words: np.ndarray) -> np.ndarray:
@@ -214,7 +225,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         return Model(fallback=float(y.mean()) if len(y) else 0.0)
-    corpus = _Corpus([t for t, _ in rows], [label for _, label in rows])
+    corpus = _Corpus((t for t, _ in rows), [label for _, label in rows])
     kept_out = np.zeros(len(rows), bool)
     for label in (0, 1):
         kept_out[np.nonzero(y == label)[0][2::3]] = True
@@ -235,7 +246,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
 
 def _fit_field(model: Model, corpus: _Corpus, learn: np.ndarray, y: np.ndarray, toxic: np.ndarray) -> None:
     """Gradient steps (with per-weight step sizes) on the log likelihood of the labelled tokens."""
-    token = np.concatenate([corpus.words[i] for i in learn])
+    token = np.concatenate([corpus.words[i] for i in learn])  # 32-bit numbers
     lengths = np.concatenate([corpus.lines[i] for i in learn])
     n_words, owner, feature = len(corpus.count), np.repeat(np.arange(len(corpus.count)), corpus.count), corpus.feature
     seldom = (np.bincount(feature, minlength=len(toxic)) < 2) & ~toxic  # names of one word only say what the word says
@@ -282,28 +293,29 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     shares = {r.toxic: (2 - r.toxic) * per_label * (1 << 20) / r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     drawn = known.filter(F.when(F.col("toxic") == 1, F.col("_h") < shares.get(1, 0.0)).otherwise(F.col("_h") < shares.get(0, 0.0)))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("_h", "doc_id", "text", "toxic").collect()
-    return fit([(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: (r._h, r.doc_id, r.text or "", r.toxic))])
-
+    rows = [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: (r._h, r.doc_id, r.text or "", r.toxic))]
+    give_back()
+    model = fit(rows)
+    del rows
+    give_back()
+    return model
 
-_scorers: dict[str, Scorer] = {}
 
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity", spans: bool = True) -> DataFrame:
+    """`docs` with a struct `name` (in place of a column of that name, if there is one).
 
-def score(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
-    """`docs` with toxicity (0 to 1) and, if asked for, toxic_spans array<struct<start,stop>> in code points."""
+    Its fields: score (0 to 1) and spans, array<struct<start,stop>> in code points (empty where `spans` is not asked for).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mark = uuid.uuid4().hex
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shared.value)
+        scorer = held(mark, lambda: Scorer(shared.value))
         for texts in batches:
             rows = []
             for i in range(0, len(texts), 200):
-                rows += _scorers[mark].texts(list(texts.iloc[i : i + 200]), spans)
-            yield pd.DataFrame({"toxicity": [r[0] for r in rows], "toxic_spans": [r[1] for r in rows]})
+                rows += scorer.texts(list(texts.iloc[i : i + 200]), spans)
+            yield pd.DataFrame({"score": [r[0] for r in rows], "spans": [r[1] for r in rows]})
 
-    scored_udf = F.pandas_udf(scored, "toxicity double, toxic_spans array<struct<start:int,stop:int>>", F.PandasUDFType.SCALAR_ITER)
-    out = docs.withColumn("_scored", scored_udf(F.col(text)))
-    out = out.withColumn("toxicity", F.col("_scored.toxicity"))
-    return (out.withColumn("toxic_spans", F.col("_scored.toxic_spans")) if spans else out).drop("_scored")
+    scored_udf = F.pandas_udf(scored, "score double, spans array<struct<start:int,stop:int>>", F.PandasUDFType.SCALAR_ITER)
+    return docs.withColumn(name, scored_udf(F.col(text)))

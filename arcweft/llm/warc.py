@@ -10,7 +10,8 @@ count. `tree` builds all levels of all files, `audit` compares the roots, then o
 down to the leaves. What differs there is a record that one replica has damaged, moved or lost.
 
 Files have `PER_FILE` records, so that no group of a level is large; rows that repeat an id are records of their own, in the
-order of their digests; equal rows are equal records, under the same record id. Null ids come last, null pages have empty blocks, null urls an empty address.
+order of their digests; equal rows are equal records, under the same record id. Null ids come last, null pages have empty blocks, null urls an empty address; line ends in urls
+are spaces in the header.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def records(pages: DataFrame) -> DataFrame:
     name = F.md5(F.concat_ws("\n", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), hashed))
     fields = [
         F.lit(VERSION), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <urn:md5:"), name, F.lit(">")), F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))), F.concat(F.lit("WARC-Block-Digest: sha256:"), hashed),
+        F.concat(F.lit("WARC-Target-URI: "), F.translate(F.coalesce("url", F.lit("")), "\r\n", "  ")), F.concat(F.lit("WARC-Block-Digest: sha256:"), hashed),
         F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(*[x for f in fields for x in (f, F.lit(LINE))], F.lit(LINE), block, F.lit(LINE + LINE))
@@ -127,9 +128,9 @@ def write(records: DataFrame, folder: str, compress: bool = False) -> DataFrame:
 
 
 _HEAD = re.compile(rb"WARC/\d\.\d\r\n(?:[^\r\n]+\r\n)*\r\n")
-_LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
-_URI = re.compile(rb"(?im)^warc-target-uri:\s*<?([^\r\n>]*)")
-_TYPE = re.compile(rb"(?im)^warc-type:\s*([^\r\n]*)")
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)")
+_URI = re.compile(rb"(?im)^warc-target-uri:[ \t]*<?([^\r\n>]*)")
+_TYPE = re.compile(rb"(?im)^warc-type:[ \t]*([^\r\n]*)")
 
 
 def parse(content: bytes) -> list[dict]:
