@@ -14,23 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweft.llm import bpe, langid, mixing, ngram_join, toxicity
-from arcweft.llm.common import cut, table
+from arcweft.llm.common import cut, small_batches, table
 
 #: Scores from which on a document counts as toxic.
 TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    return langid.identify(docs, model).filter("not rejected").select(*docs.columns)
+    return langid.identify(docs, model).filter("not language.rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, spans=False).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, spans=False).filter(F.col("toxicity.score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.deduplicated(docs)
 
 
@@ -41,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.json"))
     out = codec.round_trip(docs.select("doc_id", "source", "text"))
     return out.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
