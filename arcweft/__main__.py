@@ -56,6 +56,8 @@ def main(argv: list[str] | None = None) -> int:
     except (RulebookError, RuleConfigError, ConfigError) as e:
         say("Error", f"❌ Error: {e}")
         return 1
+    for path in run.unreadable:
+        say("Error", f"❌ Error: {path}: not valid UTF-8")
     say("Plain", report.summary(run, time.time() - began))
     if not run.clean:
         say("Error", f"❌ Error: {report.found(run, 'arcweft')}")

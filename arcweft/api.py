@@ -34,6 +34,7 @@ class Analysis:
     edges: DataFrame
     vertices: DataFrame
     found: DataFrame
+    unreadable: DataFrame
 
 
 def analyse(files: DataFrame, root: str, config: Config, rulebooks: list[Rulebook], baseline: DataFrame | None = None, rules: bool = True) -> Analysis:
@@ -44,6 +45,7 @@ def analyse(files: DataFrame, root: str, config: Config, rulebooks: list[Ruleboo
     """
     absolute = F.concat(F.lit(root.rstrip("/") + "/"), "path")
     to_parse = modules_of(files, os.path.basename(root.rstrip("/"))).withColumn("path", absolute)
+    unreadable = to_parse.filter("content is null").select("path")  # no modules
     nodes = cut(parse.nodes(to_parse))
     modules = cut(resolve.module_ids(nodes.select("path").distinct(), config))
     everywhere = files.filter(~F.col("is_dir")).select(absolute.alias("path"))
@@ -59,7 +61,7 @@ def analyse(files: DataFrame, root: str, config: Config, rulebooks: list[Ruleboo
         imports, edges = cut(imports), cut(edges)
         vertices = cut(graph.vertices_of(edges, modules))
         found = found.unionByName(enforce(modules, imports, edges, vertices, rulebooks)).unionByName(lints.import_cycles(edges, imports, modules, config.base_url))
-    return Analysis(modules, nodes, imports, edges, vertices, cut(found))
+    return Analysis(modules, nodes, imports, edges, vertices, cut(found), unreadable)
 
 
 def baseline_path(project: str, home: str = HOME) -> str:
@@ -106,6 +108,10 @@ def _project(spark: SparkSession, project: str, home: str) -> tuple[str, Config,
     return root, config, rulebooks, local_files(spark, root)
 
 
+def _unread(done: Analysis) -> tuple[str, ...]:
+    return tuple(r.path for r in done.unreadable.orderBy(F.split("path", "/")).collect())
+
+
 def check(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple[DataFrame, Run]:
     """Problems that the baseline does not accept, compacted and in order, with their text; and the run."""
     root, config, rulebooks, files = _project(spark, project, home)
@@ -113,7 +119,7 @@ def check(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple[Da
     done = analyse(files, root, config, rulebooks, accepted)
     found = cut(problems.formatted(problems.compacted(problems.suppressed(done.found, accepted))))
     n = problems.counts(found).first()
-    return problems.ordered(found), Run("check", done.modules.count(), rule_count(rulebooks), n.total, n.auto_fixable)
+    return problems.ordered(found), Run("check", done.modules.count(), rule_count(rulebooks), n.total, n.auto_fixable, _unread(done))
 
 
 def baseline(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple[DataFrame, Run]:
@@ -122,7 +128,7 @@ def baseline(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple
     done = analyse(files, root, config, rulebooks)
     found = cut(problems.compacted(done.found))
     save_baseline(found, baseline_path(root, home))
-    return problems.ordered(found), Run("baseline", done.modules.count(), rule_count(rulebooks), found.count())
+    return problems.ordered(found), Run("baseline", done.modules.count(), rule_count(rulebooks), found.count(), unreadable=_unread(done))
 
 
 def rewrites(done: Analysis, files: DataFrame, root: str) -> DataFrame:
@@ -146,4 +152,4 @@ def fix(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple[list
             f.write(row.content)
         changed.append(row.path)
     n = problems.counts(problems.compacted(problems.suppressed(done.found, accepted))).first()
-    return changed, Run("fix", done.modules.count(), rule_count(rulebooks), n.total, n.auto_fixable)
+    return changed, Run("fix", done.modules.count(), rule_count(rulebooks), n.total, n.auto_fixable, _unread(done))

@@ -21,6 +21,7 @@ class Run:
     rules: int
     total: int = 0
     auto_fixable: int = 0
+    unreadable: tuple[str, ...] = ()  # files that are no text and so no modules
 
     @property
     def clean(self) -> bool:

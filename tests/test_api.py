@@ -67,6 +67,12 @@ def test_baseline_round_trip(spark, tmp_path):
     assert api.save_baseline(rows.limit(0), path) == 0 and api.load_baseline(spark, path).count() == 0
 
 
+def test_unreadable_files_are_named_and_are_no_modules(spark, project):
+    (project / "src/bad.ts").write_bytes(b"\xff\xfe import x from 'y'")
+    _, run = api.check(spark, str(project))
+    assert run.modules == 3 and [p.rsplit("/", 1)[1] for p in run.unreadable] == ["bad.ts"]
+
+
 def test_missing_configuration(spark, tmp_path):
     with pytest.raises(ConfigError, match="tsconfig.json not found"):
         api.check(spark, str(tmp_path))
