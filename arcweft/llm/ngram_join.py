@@ -23,7 +23,8 @@ Every pair of similar sets shares a bucket, so it is either verified or lies in
 
 Shingles and nodes are 64-bit hashes (odds of an accidental equality: 2^-64 a pair). Only words matter: documents with fewer words than a
 shingle has are one shingle; documents without words and null texts are empty sets that link with nothing. Rows that
-share an id are one document (their classes are joined); rows without an id take no part and get null classes.
+share an id are one document (their classes are joined); rows without an id take no part and get null classes. Empty tables give no rows;
+only doc_id and text are read, and `deduplicated` keeps all columns whatever their names. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import WORD, cut, held
+from arcweft.llm.common import WORD, cut, give_back, held
 from arcweft.llm.components import components
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Nodes of a bucket that are compared at once; cells of a node's histogram; words and nodes that a worker remembers.
-CELL, CELLS, KEPT, SEEN = 2048, (16, 512), 300_000, 200_000
+CELL, CELLS, KEPT, SEEN = 2048, (16, 512), 150_000, 100_000
 #: Nodes (16 bytes each) that are sent to every task to find their texts, at most.
 BROADCAST = 500_000
 #: Pairs that a task gathers by their first node before it passes them on.
@@ -134,8 +135,8 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 250):
+                part = batch.iloc[at : at + 250]
                 n, node, signed, hists = [], [], [], []
                 for text in part["text"]:
                     s = shingles(text, size)
@@ -150,6 +151,7 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     signed.append(signatures(s, percent).view(np.int64) if new else None)
                     hists.append(histogram(s) if new else None)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, "node": node, "signatures": signed, "histogram": hists})
+        give_back()
 
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(rows, "doc_id long, n long, node long, signatures array<long>, histogram binary")
 
@@ -263,23 +265,18 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int,
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, size).tobytes() for t in batch["text"]]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "s": sets})[nodes == batch["node"].to_numpy()]
-
-    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text").mapInPandas(rows, "node long, s binary")
+            for at in range(0, len(batch), 50):
+                part = batch.iloc[at : at + 50]
+                sets = [shingles(t, size) for t in part["text"]]
+                nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pd.DataFrame({"node": nodes, "s": [s.view(np.int64) for s in sets]})[nodes == part["node"].to_numpy()]
+        give_back()
+
+    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text").mapInPandas(rows, "node long, s array<long>")
     sets = cut(sets.dropDuplicates(["node"]))
-
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            return (100 + percent) * both >= percent * ((len(x) + len(y)) // 8)
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.filter(similar("sa", "sb")).select("a", "b")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
+    common = F.size(F.array_intersect("sa", "sb"))  # row by row, so that only one pair of sets is in memory
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
