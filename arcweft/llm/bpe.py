@@ -21,14 +21,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import held
+from arcweft.llm.common import give_back, held
 
 #: Fixed value: the byte-level split pattern that tokenizer files of this kind imply.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker keeps: two generations of this many.
-KEPT = 1 << 17
+KEPT = 1 << 16
 #: Rows that are encoded and decoded before they go back to Spark.
-SLICE = 1000
+SLICE = 250
 #: Rank of a pair that has no merge; bits for the position in a leaf, of long pieces and of those whose leaves stay small.
 NEVER, SHIFT, SHORT = (1 << 17) - 1, 40, 12
 
@@ -182,6 +182,7 @@ class Codec:
                 for i in range(0, len(texts), SLICE):
                     packed = [tokenizer.encode(t or "") for t in texts.iloc[i : i + SLICE]]
                     yield pd.DataFrame({"ids": packed, "decoded": [tokenizer.decode(p) for p in packed]})
+            give_back()
 
         self._encode = F.pandas_udf(encode, "binary", F.PandasUDFType.SCALAR_ITER)
         self._decode = F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR_ITER)

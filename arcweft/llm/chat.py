@@ -7,7 +7,8 @@ a model is to learn from, `turns` and `loss_text` read a rendering back.
 
 Events are (conv_id, seq, msg, kind, role, text): seq orders the log, msg orders the messages of a conversation. Two
 levels of grouping keep tasks small: events meet by message, messages by blocks of `BLOCK` neighbours; only finished
-blocks of a conversation meet.
+blocks of a conversation meet. An empty log gives no rows; columns other than those named are not read; null conversation
+ids are one conversation, null message numbers stand first in theirs.
 """
 
 from __future__ import annotations

@@ -84,13 +84,16 @@ def held(key: object, make: Callable[[], object]) -> object:
     """
     if key not in _held:
         _held.clear()
+        gc.collect()
         give_back()
         _held[key] = make()
     return _held[key]
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, where the C library can: a process that lives on counts with what it keeps."""
-    gc.collect()
+    """Returns freed memory to the system, where the libraries can: a process that lives on counts with what it keeps."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -12,7 +12,8 @@ Taken as signs (1 and -1), the sentence lanes are random projections of the sent
 fingerprints estimates how many sentences differ, hence `likeness`. It is 1 for equal fingerprints and about 0 (deviation
 0.09) for texts that share no sentence. Sentence lanes count modulo 2^14: differences of over 8191 sentences wrap.
 
-Nulls count as empty texts. All sums are masked as they go, so that no text is too long.
+Nulls count as empty texts; empty tables give no rows; other columns are kept by `fingerprints` and not read by
+`beside_next`. All sums are masked as they go, so that no text is too long.
 """
 
 from __future__ import annotations

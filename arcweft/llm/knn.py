@@ -13,7 +13,8 @@ locally, in blocks of bounded size on both sides; the k best of each block are m
 Scores are integers: products are summed in float64 where that is exact and in int64 otherwise. Vectors shorter than the
 longest count as padded with zeros. Rows without id or vector play no part, nor do vectors with null components. Ties go to
 the smaller id; rows with a query's id are its own and no candidates of it; data rows that repeat each count, queries that
-repeat id and vector count once. Fewer than k candidates give fewer rows, empty tables none.
+repeat id and vector count once. Fewer than k candidates give fewer rows, empty tables none; other columns are not
+read. Sums beyond 64 bits wrap.
 """
 
 from __future__ import annotations

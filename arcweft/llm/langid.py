@@ -38,7 +38,7 @@ ORDER, LONGEST, STEADY = 5, 40, 60
 #: Labelled rows of each language that the model is made from: a documented bound on the sample, not on what is scored.
 PER_LANGUAGE = 500
 #: Words whose sums a worker keeps.
-KEPT = 250_000
+KEPT = 150_000
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST).findall
 UNDETERMINED = "und"
 
@@ -268,6 +268,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
                 rows += scorer.texts(list(texts.iloc[i : i + 500]))
             entropy = [x / math.sqrt(min(n, STEADY)) + usual[lang] if n else 0.0 for lang, _, _, x, n in rows]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "rejected": [r[2] for r in rows], "entropy": entropy, "n_letters": [r[4] for r in rows]})
+        give_back()
 
     judged_udf = F.pandas_udf(judged, "lang_pred string, score double, rejected boolean, entropy double, n_letters long", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(name, judged_udf(F.col(text)))

@@ -36,7 +36,7 @@ PER_LABEL, CHAIN = 1500, 256
 #: When a feature counts as toxic: log-likelihood ratio, and share of toxic documents among those that have it.
 EVIDENCE, PURITY = 12.0, 0.8
 #: Steps of fitting, penalty on squared weights, words whose weights a worker keeps.
-STEPS, PENALTY, KEPT = 50, 1e-6, 300_000
+STEPS, PENALTY, KEPT = 50, 1e-6, 150_000
 TOKENS = re.compile(r"[^\W\d_]+|\n")
 LINE = "\n"
 
@@ -316,6 +316,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
             for i in range(0, len(texts), 200):
                 rows += scorer.texts(list(texts.iloc[i : i + 200]), spans)
             yield pd.DataFrame({"score": [r[0] for r in rows], "spans": [r[1] for r in rows]})
+        give_back()
 
     scored_udf = F.pandas_udf(scored, "score double, spans array<struct<start:int,stop:int>>", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(name, scored_udf(F.col(text)))
