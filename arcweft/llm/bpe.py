@@ -26,7 +26,7 @@ from arcweft.llm.common import give_back, held
 #: Fixed value: the byte-level split pattern that tokenizer files of this kind imply.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker keeps: two generations of this many.
-KEPT = 1 << 16
+KEPT = 1 << 17
 #: Rows that are encoded and decoded before they go back to Spark.
 SLICE = 250
 #: Rank of a pair that has no merge; bits for the position in a leaf, of long pieces and of those whose leaves stay small.
