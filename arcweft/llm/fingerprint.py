@@ -3,14 +3,15 @@
 A text is taken as the multiset of its paragraphs (runs between line feeds, empty ones included) and each paragraph as
 the multiset of its sentences. Every paragraph is hashed to four 64-bit words, cut into eight lanes of 31 and 30 bits;
 every sentence is hashed to 128 lanes of one bit. A fingerprint is the lane-wise sum of these wide vectors, modulo
-2^31, 2^30 and 2^14, so
+2^31 and 2^30, so
 
 * equal texts have equal fingerprints, whatever the order of their paragraphs;
 * adding or removing a paragraph adds or subtracts its vector (`combine`), without the rest of the text.
 
 Taken as signs (1 and -1), the sentence lanes are random projections of the sentence counts: the squared distance of two
 fingerprints estimates how many sentences differ, hence `likeness`. It is 1 for equal fingerprints and about 0 (deviation
-0.09) for texts that share no sentence. Sentence lanes count modulo 2^14: differences of over 8191 sentences wrap.
+0.09) for texts that share no sentence. Sentence lanes count modulo 2^30, more sentences than a text can hold; likeness
+of fingerprints that `combine` has brought beyond that is undefined. Runs of `RUN` sentences are summed in narrow lanes.
 
 Nulls count as empty texts; empty tables give no rows; other columns are kept by `fingerprints` and not read by
 `beside_next`. All sums are masked as they go, so that no text is too long.
@@ -23,41 +24,52 @@ from pyspark.sql import functions as F
 
 from arcweft.llm.common import ranked
 
-#: Two lanes of 31 and 30 bits a long; four lanes of 14 bits a long, one bit of each set by a sentence.
-WIDE, FIELDS, ONES = 0x3FFFFFFF7FFFFFFF, 0x3FFF3FFF3FFF3FFF, 0x0001000100010001
+#: Two lanes of 31 and 30 bits a long; two lanes of 30 bits a long, of sentences.
+WIDE, FIELDS = 0x3FFFFFFF7FFFFFFF, 0x3FFFFFFF3FFFFFFF
+#: Within a run of sentences: four lanes of 16 bits a long, one bit of each set by a sentence; every other lane; sentences that fit.
+ONES, APART, RUN = 0x0001000100010001, 0x0000FFFF0000FFFF, 0x7FFF
 WIDE_LONGS, SHIFTS, SALTS = 4, 16, 2
+LONGS = WIDE_LONGS + 2 * SALTS * SHIFTS
 SENTENCE_END = r"(?<=[.!?])[ \t]+|\n"
 
 
 def lanes(text: Column) -> Column:
-    """The fingerprint of a text as array<long>: 4 longs of paragraph lanes, 32 of sentence lanes, the sentence count."""
+    """The fingerprint of a text as array<long>: 4 longs of paragraph lanes, 64 of sentence lanes, the sentence count."""
     text = F.coalesce(text, F.lit(""))
 
     def paragraph(total: Column, p: Column) -> Column:
         return F.array(*[(total[i] + F.xxhash64(p, F.lit(i)).bitwiseAND(F.lit(WIDE))).bitwiseAND(F.lit(WIDE)) for i in range(WIDE_LONGS)])
 
     def sentence(total: Column, h: Column) -> Column:
-        fields = [(total[s * SHIFTS + j] + F.shiftright(h[s], j).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(FIELDS)) for s in range(SALTS) for j in range(SHIFTS)]
-        return F.array(*fields)
+        return F.array(*[total[k * SHIFTS + j] + F.shiftright(h[k], j).bitwiseAND(F.lit(ONES)) for k in range(SALTS) for j in range(SHIFTS)])
+
+    def run(total: Column, narrow: Column) -> Column:
+        low = [narrow[i].bitwiseAND(F.lit(APART)) for i in range(SALTS * SHIFTS)]
+        high = [F.shiftright(narrow[i], 16).bitwiseAND(F.lit(APART)) for i in range(SALTS * SHIFTS)]
+        return F.array(*[(total[i] + x).bitwiseAND(F.lit(FIELDS)) for i, x in enumerate(low + high)])
+
+    def runs(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(RUN))
+        return F.transform(starts, lambda at: F.aggregate(F.slice(hashes, at, RUN), zeros(SALTS * SHIFTS), sentence))
 
     sentences = F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
     hashes = F.transform(sentences, lambda s: F.array(*[F.xxhash64(s, F.lit(100 + k)) for k in range(SALTS)]))
     zeros = lambda n: F.array(*[F.lit(0).cast("long")] * n)
     wide = F.aggregate(F.split(text, "\n"), zeros(WIDE_LONGS), paragraph)
-    return F.concat(wide, F.aggregate(hashes, zeros(SALTS * SHIFTS), sentence), F.array(F.size(sentences).cast("long")))
+    narrow = F.flatten(F.transform(F.array(hashes), runs))  # by way of an array, so that a text is split and hashed once and not once a run
+    return F.concat(wide, F.aggregate(narrow, zeros(2 * SALTS * SHIFTS), run), F.array(F.size(sentences).cast("long")))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of both multisets together, or with sign=-1 of `a` without `b`, from the fingerprints alone."""
-    n = WIDE_LONGS + SALTS * SHIFTS
 
     def mask(i: Column) -> Column:
-        return F.when(i < WIDE_LONGS, F.lit(WIDE)).when(i < n, F.lit(FIELDS)).otherwise(F.lit(0x3FFFFFFFFFFFFFFF))
+        return F.when(i < WIDE_LONGS, F.lit(WIDE)).when(i < LONGS, F.lit(FIELDS)).otherwise(F.lit(0x3FFFFFFFFFFFFFFF))
 
     # the lowest bit above each lane keeps a borrow from reaching the next lane
     if sign > 0:
         return F.transform(a, lambda x, i: (x + b[i]).bitwiseAND(mask(i)))
-    guard = lambda i: F.when(i < WIDE_LONGS, F.lit(0x4000000080000000)).when(i < n, F.lit(0x4000400040004000)).otherwise(F.lit(0))
+    guard = lambda i: F.when(i < WIDE_LONGS, F.lit(0x4000000080000000)).when(i < LONGS, F.lit(0x4000000040000000)).otherwise(F.lit(0))
     return F.transform(a, lambda x, i: (x.bitwiseOR(guard(i)) - b[i]).bitwiseAND(mask(i)))
 
 
@@ -68,16 +80,15 @@ def text_of(fingerprint: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: twice the product of the sign sums over the sum of their squares; 1 if the fingerprints are equal."""
-    n = WIDE_LONGS + SALTS * SHIFTS
-    field = lambda x, k: F.shiftright(x, 16 * k).bitwiseAND(F.lit(0x3FFF))
-    lifted = lambda d: (d + 8192).bitwiseAND(F.lit(0x3FFF)) - 8192
+    field = lambda x, k: F.shiftright(x, 32 * k).bitwiseAND(F.lit(0x3FFFFFFF))
+    lifted = lambda d: (d + (1 << 29)).bitwiseAND(F.lit(0x3FFFFFFF)) - (1 << 29)
 
     def squares(one: Column, other: Column | None) -> Column:
-        count = one[n] - (other[n] if other is not None else F.lit(0))
+        count = one[LONGS] - (other[LONGS] if other is not None else F.lit(0))
         total = F.lit(0).cast("double")
 
         def add(acc: Column, i: Column) -> Column:
-            for k in range(4):
+            for k in range(2):
                 d = field(one[i], k) - (field(other[i], k) if other is not None else F.lit(0))
                 if other is not None:
                     d = lifted(d)
@@ -85,7 +96,7 @@ def likeness(a: Column, b: Column) -> Column:
                 acc = acc + v * v
             return acc
 
-        return F.aggregate(F.sequence(F.lit(WIDE_LONGS), F.lit(n - 1)), total, add)
+        return F.aggregate(F.sequence(F.lit(WIDE_LONGS), F.lit(LONGS - 1)), total, add)
 
     both = squares(a, None) + squares(b, None)
     part = F.when(both > 0, 1 - squares(a, b) / both).otherwise(0.0)

@@ -159,6 +159,25 @@ def test_long_texts_do_not_overflow(spark):
     assert a == b
 
 
+def test_likeness_of_texts_of_many_sentences(spark):
+    text = lambda mark, n: "\n".join(f"{mark}{i} line." for i in range(n))
+    n = 40_000
+    whole = text("a", n)
+    half = whole[: len(whole) // 2] + text("b", n // 2)
+    pairs = [(whole, text("c", n)), (whole, half), (text("a", 100_000), text("c", 100_000)), ("x y.\n" * 20_000, "x y.\n" * 40_000), ("x y.\n" * 70_000, text("a", 300))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").withColumns({"fa": fingerprint.lanes(F.col("a")), "fb": fingerprint.lanes(F.col("b"))})
+    got = [x.n for x in df.select("i", fingerprint.likeness(F.col("fa"), F.col("fb")).alias("n")).orderBy("i").collect()]
+    assert got[0] < 0.3 and 0.3 < got[1] < 0.85 and got[2] < 0.3 and abs(got[3] - 0.8) < 1e-3 and got[4] < 0.1
+
+
+def test_sentence_lanes_across_runs(spark):
+    lines = [f"{i} line." for i in range(70_000)]
+    whole, first, second = lanes(spark, ["\n".join(lines), "\n".join(lines[:33_000]), "\n".join(lines[33_000:])])
+    one = spark.createDataFrame([(whole, first, second)], "w array<long>, a array<long>, b array<long>")
+    got = one.select(fingerprint.combine(F.col("a"), F.col("b")).alias("sum"), fingerprint.combine(F.col("w"), F.col("b"), -1).alias("rest")).first()
+    assert got["sum"] == whole and got["rest"] == first and whole[-1] == 70_000
+
+
 def edited_texts(rows):
     """Brute force over distinct (id, text), nulls last."""
     order = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda x: x[:2])
