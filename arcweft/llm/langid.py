@@ -10,7 +10,10 @@ is a binary search per character and order; words repeat, so their sums are kept
 
 The language of a text is the one of least cross-entropy per character. On sampled rows kept out of the counts, the
 excess over the language's usual cross-entropy (times the root of the length, up to `STEADY` characters) is measured;
-a text is rejected if its excess is over the calibrated bound. `score` is the share of the language's likelihood among all
+a text is rejected if its excess is over the calibrated bound. A language with fewer than `CALIBRATED` such rows is
+cross-validated on all of its sampled rows instead; if too few are told apart from other languages for a bound, it takes
+the bound of all languages, and with none also their usual cross-entropy. With no such row in any language, what is
+predicted no better than by guessing among the letters is rejected. `score` is the share of the language's likelihood among all
 languages and the rejecting one, over at most `STEADY` characters.
 
 Texts without any letter, empty and null texts are `und` with score 0 and rejected. Ties go to the language that sorts
@@ -37,6 +40,8 @@ from arcweft.llm.common import cut, give_back, held
 ORDER, LONGEST, STEADY = 5, 40, 60
 #: Labelled rows of each language that the model is made from: a documented bound on the sample, not on what is scored.
 PER_LANGUAGE = 500
+#: Rows kept out of the counts that a language's own bound takes at least; parts of a cross-validation.
+CALIBRATED, FOLDS = 5, 10
 #: Words whose sums a worker keeps.
 KEPT = 150_000
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST).findall
@@ -57,18 +62,23 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return drawn.select("lang", "text", (F.col("_h") % 5 == 0).alias("calibrate"))
 
 
+def _counted(words: Counter[str]) -> Counter[str]:
+    grams: Counter[str] = Counter()
+    for word, n in words.items():
+        padded = f" {word} "
+        for end in range(2, len(padded) + 1):
+            for start in range(max(0, end - ORDER), end):
+                grams[padded[start:end]] += n
+    return grams
+
+
 def _ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
             words: Counter[str] = Counter()
             for t in texts:
                 words.update(WORDS(t.lower()))
-            grams: Counter[str] = Counter()
-            for word, n in words.items():
-                padded = f" {word} "
-                for end in range(2, len(padded) + 1):
-                    for start in range(max(0, end - ORDER), end):
-                        grams[padded[start:end]] += n
+            grams = _counted(words)
             yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
 
@@ -165,8 +175,12 @@ class Scorer:
         return [self.model.judge(self.sums[np.fromiter(map(get, w), np.int64, len(w))].sum(0) if w else nothing) for w in split]
 
 
-def smooth(counts: dict[str, dict[str, int]]) -> Model:
-    """The Kneser-Ney models of several languages from raw n-gram counts by language.
+def letters_of(counts: dict[str, dict[str, int]]) -> int:
+    return max(len({g for raw in counts.values() for g in raw if len(g) == 1}), 1)
+
+
+def smooth(counts: dict[str, dict[str, int]], letters: int | None = None) -> Model:
+    """The Kneser-Ney models of several languages from raw n-gram counts by language; `letters` if there are more languages.
 
     The highest order, and n-grams that begin a word, keep their counts; the others count in how many different
     characters they are preceded by. Each order takes its discount from how many n-grams occur once and twice.
@@ -175,7 +189,7 @@ def smooth(counts: dict[str, dict[str, int]]) -> Model:
     probability: list[dict[str, dict[str, float]]] = [{} for _ in range(ORDER)]
     weights: list[dict[str, dict[str, float]]] = [{} for _ in range(ORDER)]
     floors = []
-    letters = max(len({g for raw in counts.values() for g in raw if len(g) == 1}), 1)  # of all languages, so that each model shares one among them
+    letters = letters or letters_of(counts)  # of all languages, so that each model shares one among them
     for lang in langs:
         raw = counts[lang]
         by_order: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
@@ -238,19 +252,64 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     counts: dict[str, dict[str, int]] = {}
     for row in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(row.lang, {})[row.gram] = row.n
+    letters = letters_of(counts)
     model = smooth(counts)
     del counts
     give_back()
     kept_out = identify(drawn.filter("calibrate"), model, name="_found").select("lang", "_found.*").filter("n_letters > 0").collect()
-    for k, lang in enumerate(model.langs):
-        own = [(r.entropy, min(r.n_letters, STEADY)) for r in kept_out if r.lang == r.lang_pred == lang]
-        if len(own) >= 5:
-            model.usual[k] = np.average([e for e, _ in own], weights=[n for _, n in own])
-            excess = sorted((e - model.usual[k]) * math.sqrt(n) for e, n in own)
-            model.bound[k] = max(3.0 * excess[min(len(excess) - 1, int(0.995 * len(excess)))], 0.5 * math.sqrt(STEADY))
+    calibrate(model, [(r.lang, r.entropy, r.n_letters) for r in kept_out if r.lang == r.lang_pred], drawn, letters)
     return model
 
 
+def _sums(model: Model, words: list[str]) -> np.ndarray:
+    return sum(model.score_words(words[i : i + 20_000]).sum(0) for i in range(0, len(words), 20_000))
+
+
+def _cross_validated(model: Model, lang: str, texts: list[str], letters: int) -> list[tuple[float, int]]:
+    """Cross-entropy and characters of each different text under what the others say; those that another language fits better are left out."""
+    split = [w for t in sorted(set(texts)) if (w := WORDS(t.lower())) and any(c.isalpha() for word in w for c in word)]
+    own, folds, out = model.langs.index(lang), min(FOLDS, len(split)), []
+    for fold in range(folds if folds > 1 else 0):
+        rest = smooth({lang: _counted(Counter(word for k, w in enumerate(split) if k % folds != fold for word in w))}, letters)
+        for w in split[fold::folds]:
+            total, sums = _sums(rest, w), _sums(model, w)
+            sums[own] = total[0]
+            if int(np.argmax(sums[:-1])) == own:
+                out.append((-float(total[0]) / total[1], int(total[1])))
+    return out
+
+
+def calibrate(model: Model, right: list[tuple[str, float, int]], drawn: DataFrame, letters: int) -> None:
+    """Sets the usual cross-entropy and the bound of each language from (lang, entropy, characters) of rightly predicted rows."""
+    rows: dict[str, list[tuple[float, int]]] = {lang: [] for lang in model.langs}
+    for lang, e, n in right:
+        rows[lang].append((e, min(n, STEADY)))
+    few = [lang for lang in model.langs if len(rows[lang]) < CALIBRATED]
+    if few:
+        shared = drawn.sparkSession.sparkContext.broadcast(model)
+
+        def tried(group: pd.DataFrame) -> pd.DataFrame:
+            lang = group["lang"].iloc[0]
+            tests = _cross_validated(shared.value, lang, list(group["text"]), letters)
+            return pd.DataFrame({"k": shared.value.langs.index(lang), "entropy": [e for e, _ in tests], "n": [n for _, n in tests]}).astype({"k": "int64", "entropy": "float64", "n": "int64"})
+
+        found: dict[str, list[tuple[float, int]]] = {}
+        for r in drawn.filter(F.col("lang").isin(few)).select("lang", "text").groupBy("lang").applyInPandas(tried, "k long, entropy double, n long").collect():
+            found.setdefault(model.langs[r.k], []).append((r.entropy, min(r.n, STEADY)))
+        rows |= {lang: own for lang, own in found.items() if len(own) > len(rows[lang])}
+    usual = lambda own: np.average([e for e, _ in own], weights=[n for _, n in own])
+    excess = {lang: [(e - usual(own)) * math.sqrt(n) for e, n in own] for lang, own in rows.items() if own}
+    bound = lambda found: max(3.0 * sorted(found)[min(len(found) - 1, int(0.995 * len(found)))], 0.5 * math.sqrt(STEADY))
+    pooled = [row for own in rows.values() for row in own]
+    for k, lang in enumerate(model.langs):
+        own = rows[lang]
+        model.usual[k] = usual(own or pooled) if pooled else math.log(letters + 1)
+        if not pooled:
+            model.bound[k] = 0.0
+        else:
+            model.bound[k] = bound(excess[lang] if len(own) >= CALIBRATED else [x for found in excess.values() for x in found])
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
     """`docs` with a struct `name` (in place of a column of that name, if there is one).
 

@@ -140,6 +140,29 @@ def test_scores_are_those_of_plain_lookups(language_model):
         assert np.allclose(row[:-1], expected) and row[-1] == len(w) + 1
 
 
+FOREIGN = ["Съешь ещё этих мягких французских булок да выпей чаю сегодня вечером", "Ξεσκεπάζω την ψυχοφθόρα σου βδελυγμία και περπατώ στον δρόμο"]
+
+
+@pytest.mark.parametrize("rare", [10, 2, 1])
+def test_rare_language_rejects_foreign_scripts(spark, rare):
+    r = random.Random(8)
+    langs = ["aa"] * 80 + ["bb"] * 80 + ["cc"] * rare
+    model = langid.train(spark.createDataFrame([(i, write(lang, r, r.randint(10, 40)), lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string"))
+    assert np.isfinite(model.bound).all() and (model.usual > 0).all()
+    texts = [*FOREIGN, *(write("cc", r, 30) for _ in range(20))]
+    got = [x.language for x in langid.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()]
+    assert all(x.rejected for x in got[:2])
+    if rare == 10:
+        assert sum(x.lang_pred == "cc" and not x.rejected for x in got[2:]) >= 18
+
+
+def test_only_rare_languages(spark):
+    r = random.Random(9)
+    for langs in (["aa"] * 10 + ["bb"] * 10, ["aa"]):
+        model = langid.train(spark.createDataFrame([(i, write(lang, r, 30), lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string"))
+        assert all(x.language.rejected for x in langid.identify(spark.createDataFrame([(t,) for t in FOREIGN], "text string"), model).collect())
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.train(docs)
