@@ -1,13 +1,14 @@
 """Exact top-k search by inner product: a Voronoi kNN join over integer vectors.
 
 Queries and data are grouped by their nearest pivots. Of each data cell only a summary is known everywhere: its pivot c, how
-many vectors it has and the k + 1 smallest distances d of its vectors to c. For a group of queries with pivot p and
+many vectors it has and the 2 k smallest distances d of its vectors to c, of no id more than k. For a group of queries with pivot p and
 radius u (no query is further from p), every product with a vector of that cell at distance d lies within
 
     p.c -/+ (u |c| + (|p| + u) d).
 
-The (k + 1)-th best lower bound over all summaries is a score that each query of the group is sure to reach k times (one of
-the vectors may be the query's own), so a vector goes to a group only if its upper bound is no less. Groups are solved
+The best lower bounds over all summaries, as many as it takes to have k of them beside those of any one id, end with a
+score that each query of the group is sure to reach k times (all vectors of one id may be the query's own), so a vector
+goes to a group only if its upper bound is no less. Groups are solved
 locally, in blocks of bounded size on both sides; the k best of each block are merged by query. The result is exact.
 
 Scores are integers: products are summed in float64 where that is exact and in int64 otherwise. Vectors shorter than the
@@ -20,6 +21,7 @@ read. Sums beyond 64 bits wrap.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,18 +82,32 @@ def _pivots(rows: DataFrame, count: int, dims: int) -> np.ndarray:
     return np.unique(_matrix(pd.Series([r.v for r in drawn]), dims), axis=0)[:count].astype(np.float64)
 
 
+def _sure(lower: list[tuple[float, int]], k: int) -> float:
+    """The highest of the falling (bound, id) that at least k vectors of other ids reach, whichever id is left out."""
+    of_id: Counter[int] = Counter()
+    most = 0
+    for n, (bound, i) in enumerate(lower, 1):
+        of_id[i] += 1
+        most = max(most, of_id[i])
+        if n - most >= k:
+            return bound
+    return -math.inf
+
+
 def _plan(data: DataFrame, queries: DataFrame, pivots: np.ndarray, groups: np.ndarray, k: int) -> Plan:
-    """Bounds from the summaries; what is collected are k + 1 numbers a cell and a row a group."""
+    """Bounds from the summaries; what is collected are 2 k numbers and ids a cell and a row a group."""
 
     def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"near": [], "d": []})
+        kept = pd.DataFrame({"near": [], "id": [], "d": []})
         for batch in batches:
-            kept = pd.concat([kept, batch]).sort_values("d").groupby("near").head(k + 1)
-        yield kept.astype({"near": "int64", "d": "float64"})
-
-    few = data.select("near", "d").mapInPandas(smallest, "near long, d double")
-    few = few.withColumn("_nth", F.row_number().over(Window.partitionBy("near").orderBy("d"))).filter(F.col("_nth") <= k + 1)
-    nearest = [(r.near, r.d) for r in few.collect()]
+            kept = pd.concat([kept, batch]).astype({"near": "int64", "id": "int64", "d": "float64"}).sort_values(["d", "id"])
+            kept = kept.groupby(["near", "id"]).head(k).groupby("near").head(2 * k)
+        yield kept.astype({"near": "int64", "id": "int64", "d": "float64"})
+
+    few = data.select("near", "id", "d").mapInPandas(smallest, "near long, id long, d double")
+    few = few.withColumn("_own", F.row_number().over(Window.partitionBy("near", "id").orderBy("d"))).filter(F.col("_own") <= k)
+    few = few.withColumn("_nth", F.row_number().over(Window.partitionBy("near").orderBy("d", "id"))).filter(F.col("_nth") <= 2 * k)
+    nearest = [(r.near, r.id, r.d) for r in few.collect()]
     cells = {r.near: (r.n, r.far) for r in data.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).collect()}
     asked = {r.near: (r.n, r.far) for r in queries.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).collect()}
     least = np.full((len(groups), len(pivots)), np.inf)
@@ -102,8 +118,8 @@ def _plan(data: DataFrame, queries: DataFrame, pivots: np.ndarray, groups: np.nd
         p_length = math.sqrt((p**2).sum())
         products = pivots @ p
         slack = 1e-9 * (p_length + u + 1) * (length + max(far for _, far in cells.values()) + 1) + 1e-6
-        lower = sorted((products[c] - u * length[c] - (p_length + u) * d - slack[c] for c, d in nearest), reverse=True)
-        surely = lower[k] if len(lower) > k else -math.inf
+        lower = sorted(((products[c] - u * length[c] - (p_length + u) * d - slack[c], i) for c, i, d in nearest), reverse=True)
+        surely = _sure(lower, k)
         reach = p_length + u
         total = 0
         for c, (count, far) in cells.items():

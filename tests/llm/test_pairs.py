@@ -189,3 +189,17 @@ def test_bounds_prune_far_cells(spark):
     plan = knn._plan(data, queries, pivots, pivots[:1], 5)
     assert knn._sent(data, plan, False).count() <= 60
     assert sorted(map(tuple, knn.top_k(df, asked, 5).collect())) == best(near + far, near[:20], 5)
+
+
+@pytest.mark.parametrize(("spread", "asked"), [(0, (20,)), (0, (20, 100)), (1, (20, 100, 200))])
+def test_asked_id_that_repeats_more_than_k_times(spark, spread, asked):
+    hot = [(20, [10 + spread * (i % 3), spread * (i % 2)]) for i in range(30)]
+    rows = hot + [(100 + i, [5, spread * (i % 4)]) for i in range(25)] + [(200 + i % 2, [7, -i]) for i in range(50 * spread)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = knn.top_k(df, df.filter(df.vec_id.isin(*asked)), 20)
+    assert sorted(map(tuple, got.collect())) == sorted(best(rows, [x for x in rows if x[0] in asked], 20))
+
+
+def test_bound_leaves_out_all_rows_of_one_id():
+    assert knn._sure([(9.0, 1), (8.0, 1), (7.0, 2), (6.0, 1), (5.0, 3), (4.0, 2)], 2) == 5.0
+    assert knn._sure([(9.0, 1), (8.0, 2), (7.0, 3)], 2) == 7.0 and knn._sure([(9.0, 1), (8.0, 1)], 1) == -np.inf
