@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -133,19 +134,59 @@ _URI = re.compile(rb"(?im)^warc-target-uri:[ \t]*<?([^\r\n>]*)")
 _TYPE = re.compile(rb"(?im)^warc-type:[ \t]*([^\r\n]*)")
 
 
+_NEXT = re.compile(rb"(?<=[\r\n])" + _HEAD.pattern)
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
+
+
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """What the gzip members of a file hold; of a damaged one what comes out of it, and on from the next member that is whole."""
+    at = 0
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        out, rest = [], at
+        try:
+            while rest < len(content) and not member.eof:
+                out.append(member.decompress(content[rest : rest + 65536]))
+                rest += 65536
+        except zlib.error:
+            pass
+        if out:
+            yield b"".join(out)
+        if member.eof:
+            at = min(rest, len(content)) - len(member.unused_data)
+        else:
+            at += 1
+        found = _MEMBER.search(content, at)  # the next one, past padding and past what is damaged
+        at = found.start() if found else len(content)
+
+
 def parse(content: bytes) -> list[dict]:
-    """Records of one file: ordinal, offset, length, type, url, block, digest of all its bytes. Stops where no record begins."""
+    """Records of one file: ordinal, offset, length, type, url, block, digest of all its bytes.
+
+    Where no record begins, what follows up to the next head of one is passed over. A length that leads neither to the
+    line ends of a record nor to the end of the file is not believed if a head comes later: the record ends there.
+    """
     import hashlib
 
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        content = b"".join(_unpacked(content))
     out, at = [], 0
-    while m := _HEAD.match(content, at):
+    while at < len(content):
+        m = _HEAD.match(content, at)
+        if not m:
+            found = _NEXT.search(content, at + 1)
+            if not found:
+                break
+            at = found.start()
+            continue
         size = _LENGTH.search(m[0])
         stop = m.end() + int(size[1]) if size else m.end()
         end = stop + 4 if content[stop : stop + 4] == b"\r\n\r\n" else stop
+        if end == stop != len(content) and (found := _NEXT.search(content, m.end())):
+            stop = end = found.start()
+        stop, end = min(stop, len(content)), min(end, len(content))
         uri, kind = _URI.search(m[0]), _TYPE.search(m[0])
-        out.append({"ordinal": len(out), "offset": at, "length": end - at, "type": kind[1].decode() if kind else "", "url": uri[1].decode("utf-8", "replace") if uri else "", "block": content[m.end() : stop], "digest": hashlib.sha256(content[at:end]).hexdigest()})
+        out.append({"ordinal": len(out), "offset": at, "length": end - at, "type": kind[1].decode("utf-8", "replace") if kind else "", "url": uri[1].decode("utf-8", "replace") if uri else "", "block": content[m.end() : stop], "digest": hashlib.sha256(content[at:end]).hexdigest()})
         at = end
     return out
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import duckdb
@@ -30,6 +31,22 @@ def test_parse_stops_at_what_is_no_record():
     assert [r["block"] for r in warc.parse(good + b"junk")] == [b"hi"]
 
 
+def test_damage_stays_in_its_record():
+    make = lambda k: f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 7\r\n\r\nblock {k}\r\n\r\n".encode()
+    parts = [make(k) for k in range(5)]
+    whole = [r["digest"] for r in warc.parse(b"".join(parts))]
+    for old, new in ((b"WARC/1.1", b"XARC/1.1"), (b": 7\r\n", b": 9\r\n"), (b": 7\r\n", b": 900\r\n"), (b": 7\r\n", b": x\r\n"), (b"\r\n\r\n", b"\r\r\r\n")):
+        bad = [*parts[:2], parts[2].replace(old, new, 1), *parts[3:]]
+        got = [r["digest"] for r in warc.parse(b"".join(bad))]
+        assert [d for d in got if d in whole] == whole[:2] + whole[3:]
+    packed = [gzip.compress(p, mtime=0) for p in parts]
+    for at in (0, 12, len(packed[2]) - 6):
+        hurt = bytearray(packed[2])
+        hurt[at] ^= 0xFF
+        got = [r["digest"] for r in warc.parse(b"".join([*packed[:2], bytes(hurt), *packed[3:]]))]
+        assert set(whole[:2] + whole[3:]) <= set(got)
+
+
 def manifest(spark, rows):
     return spark.createDataFrame(rows, "file long, ordinal long, offset long, length long, digest string")
 
