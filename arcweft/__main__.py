@@ -11,28 +11,29 @@ from pyspark.sql import SparkSession
 
 from arcweft import api
 from arcweft.plans import report
-from arcweft.plans.rulebooks import RuleConfigError, RulebookError, load_rulebooks, plural
+from arcweft.plans.rulebooks import RuleConfigError, RulebookError, plural
 from arcweft.sources.aliases import ConfigError
+from arcweft.sources.store import is_address
 
 
 def main(argv: list[str] | None = None) -> int:
     """Runs a command; 0 if clean, 1 with problems or an error. ARCWEFT_TRANSCRIPT=1 names styles instead of using them."""
     parser = argparse.ArgumentParser(prog="arcweft")
     parser.add_argument("command", choices=["check", "fix", "baseline"])
-    parser.add_argument("folder", nargs="?", default=".")
+    parser.add_argument("folder", nargs="?", default=".", help="a local folder, or the address of one in a store")
     parser.add_argument("--home", default=api.HOME, help="folder of rules and baseline within the project")
     args = parser.parse_args(argv)
     transcript = os.environ.get("ARCWEFT_TRANSCRIPT") == "1"
     say = lambda style, text: report.say(style, text, transcript)
     began = time.time()
-    project = os.path.abspath(args.folder)
+    project = args.folder if is_address(args.folder) else os.path.abspath(args.folder)
     say("Title", f"🚀 {dict(check='Checking', fix='Fixing', baseline='Baselining')[args.command]} project: {project}")
     if args.command == "fix":
         say("Plain", "Changelog:")
     spark = SparkSession.builder.appName("arcweft").getOrCreate()
     try:
         if args.command != "fix":
-            for style, text in report.banner(load_rulebooks(os.path.join(project, args.home, "rules")), args.home):
+            for style, text in report.banner(api.rulebooks_at(spark, f"{project.rstrip('/')}/{args.home}/rules"), args.home):
                 say(style, text)
         if args.command == "check":
             found, run = api.check(spark, project, args.home)

@@ -2,7 +2,8 @@
 
 `analyse` is the plan: files to modules to imports to graph to problems, all as DataFrames. `check`, `fix` and `baseline` add what a
 command does besides. A project is a folder with tsconfig.json; its rulebooks and baseline lie in a folder of their own in it
-(`home`, by default `arcweft`), as `rules/*` and `baseline.yaml`.
+(`home`, by default `arcweft`), as `rules/*` and `baseline.yaml`. A folder given by an address (`hdfs://host/project`, `file:///project`)
+lies in a store: executors read its sources, the driver only the listing, ignore files, configuration, rulebooks and baseline.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from arcweft.operators import graph, lints, parse, problems, resolve
 from arcweft.operators.enforce import enforce
 from arcweft.plans.lineage import cut
 from arcweft.plans.report import Run, rule_count
-from arcweft.plans.rulebooks import Rulebook, load_rulebooks
-from arcweft.sources.aliases import Config, load_config
-from arcweft.sources.project import local_files, modules_of
+from arcweft.plans.rulebooks import Rulebook, load_rulebooks, read_rulebooks
+from arcweft.sources.aliases import Config, ConfigError, load_config, parse_config
+from arcweft.sources.project import local_files, modules_of, stored_files
+from arcweft.sources.store import folder_of, is_address, names_in, read_text, write_text
 
 HOME = "arcweft"
 
@@ -74,8 +76,7 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     try:
         import yaml
 
-        with open(path, encoding="utf-8") as f:
-            raw = yaml.load(f, Loader=yaml.BaseLoader)
+        raw = yaml.load(read_text(spark, path), Loader=yaml.BaseLoader)
         if isinstance(raw, list) and all(isinstance(x, str) for x in raw):
             ids = [x.strip() for x in raw]
     except (OSError, UnicodeDecodeError):
@@ -89,9 +90,7 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
 def save_baseline(found: DataFrame, path: str) -> int:
     """Writes the ids of the problems, sorted, each once; returns how many."""
     ids = [r.problem_id for r in problems.baseline_ids(found).collect()]
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("".join(f"- {_scalar(i)}\n" for i in ids) if ids else "[]\n")
+    write_text(found.sparkSession, path, "".join(f"- {_scalar(i)}\n" for i in ids) if ids else "[]\n")
     return len(ids)
 
 
@@ -102,10 +101,26 @@ def _scalar(text: str) -> str:
 
 
 def _project(spark: SparkSession, project: str, home: str) -> tuple[str, Config, list[Rulebook], DataFrame]:
-    root = os.path.abspath(project)
-    rulebooks = load_rulebooks(os.path.join(root, home, "rules"))
-    config = load_config(os.path.join(root, "tsconfig.json"))
-    return root, config, rulebooks, local_files(spark, root)
+    root = folder_of(spark, project)
+    if not is_address(project):
+        return root, load_config(os.path.join(root, "tsconfig.json")), load_rulebooks(os.path.join(root, home, "rules")), local_files(spark, root)
+    rulebooks = rulebooks_at(spark, f"{project.rstrip('/')}/{home}/rules")
+    try:
+        config = parse_config(read_text(spark, f"{project.rstrip('/')}/tsconfig.json"), root)
+    except FileNotFoundError as e:
+        raise ConfigError(f"tsconfig.json not found in '{project}'") from e
+    return root, config, rulebooks, stored_files(spark, project)
+
+
+def rulebooks_at(spark: SparkSession, folder: str) -> list[Rulebook]:
+    """The rulebooks in a folder, local or in a store."""
+    if not is_address(folder):
+        return load_rulebooks(folder)
+    return read_rulebooks([(name, read_text(spark, f"{folder}/{name}")) for name in names_in(spark, folder)])
+
+
+def _kept_in(project: str, root: str) -> str:
+    return project.rstrip("/") if is_address(project) else root
 
 
 def _unread(done: Analysis) -> tuple[str, ...]:
@@ -115,7 +130,7 @@ def _unread(done: Analysis) -> tuple[str, ...]:
 def check(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple[DataFrame, Run]:
     """Problems that the baseline does not accept, compacted and in order, with their text; and the run."""
     root, config, rulebooks, files = _project(spark, project, home)
-    accepted = load_baseline(spark, baseline_path(root, home))
+    accepted = load_baseline(spark, baseline_path(_kept_in(project, root), home))
     done = analyse(files, root, config, rulebooks, accepted)
     found = cut(problems.formatted(problems.compacted(problems.suppressed(done.found, accepted))))
     n = problems.counts(found).first()
@@ -127,7 +142,7 @@ def baseline(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple
     root, config, rulebooks, files = _project(spark, project, home)
     done = analyse(files, root, config, rulebooks)
     found = cut(problems.compacted(done.found))
-    save_baseline(found, baseline_path(root, home))
+    save_baseline(found, baseline_path(_kept_in(project, root), home))
     return problems.ordered(found), Run("baseline", done.modules.count(), rule_count(rulebooks), found.count(), unreadable=_unread(done))
 
 
@@ -144,12 +159,11 @@ def fix(spark: SparkSession, project: str = ".", home: str = HOME) -> tuple[list
     fail, but not enforced.
     """
     root, config, rulebooks, files = _project(spark, project, home)
-    accepted = load_baseline(spark, baseline_path(root, home))
+    accepted = load_baseline(spark, baseline_path(_kept_in(project, root), home))
     done = analyse(files, root, config, rulebooks, accepted, rules=False)
     changed = []
     for row in rewrites(done, files, root).orderBy(F.split("path", "/")).toLocalIterator():
-        with open(row.path, "w", encoding="utf-8", newline="") as f:
-            f.write(row.content)
+        write_text(spark, _kept_in(project, root) + row.path[len(root) :], row.content)
         changed.append(row.path)
     n = problems.counts(problems.compacted(problems.suppressed(done.found, accepted))).first()
     return changed, Run("fix", done.modules.count(), rule_count(rulebooks), n.total, n.auto_fixable, _unread(done))

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.operators.graph import reachable
+from arcweft.operators.graph import chains_between, reachable
 from arcweft.operators.problems import DIRECT, MISSING_MODULE, MISSING_USE, RULE, TRANSITIVE, none, shaped, trim
 from arcweft.plans.lineage import cut
 from arcweft.plans.patterns import Env, interpolate
@@ -108,7 +110,13 @@ def enforce(modules: DataFrame, imports: DataFrame, edges: DataFrame, vertices:
     reach = None
     if {("forbids", True), ("uses", True)} & kinds:
         sources = each.filter(F.col("clause.transitive") & F.col("clause.kind").isin("forbids", "uses")).select(F.col("module_id").alias("src"))
-        reach = cut(reachable(edges, sources)).withColumnRenamed("src", "module_id")
+        clauses = [c for _, r in rules.rules for c in (*r.forbids, *r.uses) if c.transitive]
+        if all(c.pattern.is_static for c in clauses):  # only what a clause speaks of has to be reached
+            spoken_of = reduce(or_, [slashed("id").rlike(c.pattern.regex(Env(""))) for c in clauses])
+            reach = chains_between(edges, sources, vertices.filter(spoken_of).select(F.col("id").alias("dst")))
+        else:
+            reach = reachable(edges, sources)
+        reach = cut(reach).withColumnRenamed("src", "module_id")
     named = lambda rows: _named(rows, rules)
     out = [none(modules.sparkSession)]
     target = slashed("target")

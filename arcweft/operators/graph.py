@@ -2,6 +2,9 @@
 
 Edges are (src, dst, ord): ord tells parallel edges and neighbours of a source in the order of its imports. Loops over
 levels join a frontier with the edges and keep one row per pair or vertex by a minimum; each level is checkpointed.
+Chains between given sources and targets are searched from the side that has fewer: what lies between many sources and few
+targets is then gone through once a target and not once a source. A vertex that a large share of all edges share is a skewed
+key of a plain join of two exchanges, which adaptive execution splits.
 Between equally short chains the one whose edges come first in import order wins; between equally short loops the one
 whose ids come first.
 """
@@ -45,9 +48,46 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return known.select("src", "dst", "chain")
 
 
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, dst, hops) of what `reachable` finds, without the chains: rows of fixed size."""
+    steps = cut(edges.select("src", "dst").distinct())
+    known = frontier = cut(sources.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("hops")))
+    while not frontier.isEmpty():
+        hop = frontier.join(steps.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"), (F.col("hops") + 1).alias("hops"))
+        frontier = cut(hop.distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        known = known.unionByName(frontier)
+    return known
+
+
+def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src, dst, chain): everything that reaches each of `targets` (dst), itself included, by a shortest chain.
+
+    The counterpart of `reachable`, from the end: of equally short chains from a vertex, those of its neighbours are known and the
+    best one begins with an edge and goes on with the best one from there, so that both choose the same chain.
+    """
+    steps = cut(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")))
+    start = targets.select("dst").distinct().select(F.col("dst").alias("src"), "dst", F.array().cast("array<int>").alias("ords"), F.array("dst").alias("chain"))
+    known = frontier = cut(start)
+    while not frontier.isEmpty():
+        hop = frontier.withColumnRenamed("src", "via").join(steps.select(F.col("src").alias("from"), F.col("dst").alias("via"), "ord"), "via")
+        hop = hop.select(F.col("from").alias("src"), "dst", F.array_prepend("ords", F.col("ord")).alias("ords"), F.array_prepend("chain", F.col("from")).alias("chain"))
+        new = hop.join(known.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min(F.struct("ords", "chain")).alias("best"))
+        frontier = cut(new.select("src", "dst", "best.ords", "best.chain"))
+        known = known.unionByName(frontier)
+    return known.select("src", "dst", "chain")
+
+
+def chains_between(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src, dst, chain) for those of `sources` (src) and `targets` (dst) that are connected."""
+    sources, targets = cut(sources.select("src").distinct()), cut(targets.select("dst").distinct())
+    if targets.count() <= sources.count():
+        return reaching(edges, targets).join(sources, "src", "left_semi")
+    return reachable(edges, sources).join(targets, "dst", "left_semi").select("src", "dst", "chain")
+
+
 def shortest_chain(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst, chain) of those `pairs` (src, dst) that are connected."""
-    return reachable(edges, pairs.select("src")).join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    return chains_between(edges, pairs.select("src"), pairs.select("dst")).join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
 
 
 def trimmed(edges: DataFrame) -> DataFrame:

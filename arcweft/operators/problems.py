@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Order of the two types and of the kinds of rule problems.
 LINT, RULE = 0, 1
@@ -53,12 +54,12 @@ def compacted(problems: DataFrame) -> DataFrame:
     is_chain = (F.col("type_ord") == RULE) & (F.col("kind_ord") == TRANSITIVE)
     kept = problems.filter(~F.coalesce(is_chain, F.lit(False)))
     fields = [c for c in problems.columns if c not in ("chain", "seq")]
-    entry = F.struct(F.size("chain").alias("_n"), "chain", "seq", *fields)
-    groups = problems.filter(is_chain).groupBy(F.col("problem_id").alias("_id")).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    first = F.min(F.struct(F.size("chain").alias("_n"), "chain", "seq", *fields))
+    entry = F.struct(F.size("chain").alias("_n"), "chain", "seq", "also_reached")  # all that the others leave behind
+    groups = problems.filter(is_chain).groupBy(F.col("problem_id").alias("_id")).agg(first.alias("_one"), F.array_sort(F.collect_list(entry)).alias("_all"))
     empty = F.array().cast("array<array<string>>")
-    first = F.element_at("_all", 1)
     others = F.flatten(F.transform(F.slice("_all", F.lit(2), F.size("_all")), lambda e: F.concat(F.array(e["chain"]), F.coalesce(e["also_reached"], empty))))
-    one = groups.select(first.alias("_one"), others.alias("_others"))
+    one = groups.select("_one", others.alias("_others"))
     return kept.unionByName(one.select(*[(F.concat(F.coalesce("_one.also_reached", empty), "_others") if c == "also_reached" else F.col(f"_one.{c}")).alias(c) for c in problems.columns]))
 
 
@@ -67,6 +68,11 @@ def ordered(problems: DataFrame) -> DataFrame:
     return problems.orderBy(*[F.col(c).asc_nulls_first() for c in ORDER])
 
 
+def placed(problems: DataFrame) -> DataFrame:
+    """`problems` with their place in that order, from 1: for reports, which are read from the first to the last."""
+    return problems.withColumn("place", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in ORDER])))
+
+
 def baseline_ids(problems: DataFrame) -> DataFrame:
     """(problem_id), sorted, each once."""
     return problems.select("problem_id").distinct().orderBy("problem_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft import api
+from arcweft import api, queries_cases
 from arcweft.functions.casing import Casing, spelled_in, words_of, written
 from arcweft.operators import graph, lints, parse, problems, resolve
 from arcweft.operators.enforce import Ruleset, enforce, matches
@@ -100,7 +100,7 @@ VERTICES_SQL = f"WITH {STAR_SQL} SELECT id, bool_and(external) AS is_external FR
 
 def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = derived.star(spark, sf_dir)
-    return graph.reachable(edges, edges.select("src")).select("src", "dst", (F.size("chain") - 1).alias("hops"))
+    return graph.distances(edges, edges.select("src"))
 
 
 REACHABLE_SQL = f"WITH {CHAINS_SQL} SELECT src, dst, len(ords)::INT AS hops FROM short UNION ALL SELECT DISTINCT src, src, 0 FROM star"
@@ -190,7 +190,7 @@ SELECT problem_id, max(array_to_string(chain, ' > ')) FILTER (k = 1) AS chain, c
 
 
 def problems_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of the direct problems that a baseline of orders of one priority leaves, with their place in the report."""
+    """Text of the direct problems that a baseline of orders of one priority leaves."""
     accepted = table(spark, sf_dir, "orders").filter("o_orderpriority = '5-LOW'").select(F.concat(F.lit("star#orders-use-few-parts#@/orders/o-"), "o_orderkey").alias("problem_id"))
     left = problems.suppressed(_enforced(spark, sf_dir, "orders-use-few-parts"), accepted)
     return problems.formatted(left).select("problem_id", "text")
@@ -337,28 +337,17 @@ def casing_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 READINGS_SQL = """SELECT DISTINCT concat(upper(c_mktsegment[1]), lower(c_mktsegment[2:]), 'No', c_nationkey) AS name, concat(lower(c_mktsegment), ',no', c_nationkey) AS words FROM customer"""
 
 
-def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments that a misspelled one may have meant: the nearest within three edits."""
-    known = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("known")).distinct()
-    asked = known.select(F.regexp_replace("known", "[aeiou](.)$", "$1").alias("asked")).distinct()
-    pairs = asked.join(F.broadcast(known), F.levenshtein("asked", "known") <= 3)
-    return pairs.groupBy("asked").agg(F.min_by("known", F.struct(F.levenshtein("asked", "known"), "known")).alias("meant"))
-
-
-NEAR_SQL = """WITH k AS (SELECT DISTINCT lower(c_mktsegment) AS known FROM customer), a AS (SELECT DISTINCT regexp_replace(known, '[aeiou](.)$', '\\1') AS asked FROM k)
-SELECT asked, arg_min(known, (levenshtein(asked, known), known)) AS meant FROM a JOIN k ON levenshtein(asked, known) <= 3 GROUP BY asked"""
-
 QUERIES = {
     "graph_edges": graph_edges, "graph_vertices": graph_vertices, "graph_reachable": graph_reachable, "graph_shortest_chain": graph_shortest_chain, "graph_components": graph_components, "graph_loops": graph_loops,
     "rule_targets": rule_targets, "rule_forbids_transitive": rule_forbids_transitive, "rule_forbids_direct": rule_forbids_direct, "rule_uses_and_exists": rule_uses_and_exists,
     "problems_compacted": problems_compacted, "problems_report": problems_report, "problems_baseline_ids": problems_baseline_ids, "problems_counts": problems_counts,
     "parse_imports": parse_imports, "parse_round_trip": parse_round_trip, "resolve_imports": resolve_imports, "resolve_module_ids": resolve_module_ids, "lint_relative_imports": lint_relative_imports,
-    "lint_import_cycles": lint_import_cycles, "fix_rewrites": fix_rewrites, "ignored_paths": ignored_paths, "casing_of_names": casing_of_names, "casing_readings": casing_readings, "near_names": near_names,
-}
+    "lint_import_cycles": lint_import_cycles, "fix_rewrites": fix_rewrites, "ignored_paths": ignored_paths, "casing_of_names": casing_of_names, "casing_readings": casing_readings,
+} | queries_cases.QUERIES
 SQL = {
     "graph_edges": EDGES_SQL, "graph_vertices": VERTICES_SQL, "graph_reachable": REACHABLE_SQL, "graph_shortest_chain": CHAIN_SQL, "graph_components": COMPONENTS_SQL, "graph_loops": LOOPS_SQL,
     "rule_targets": TARGETS_SQL, "rule_forbids_transitive": TRANSITIVE_SQL, "rule_forbids_direct": DIRECT_SQL, "rule_uses_and_exists": USES_SQL,
     "problems_compacted": COMPACTED_SQL, "problems_report": REPORT_SQL, "problems_baseline_ids": BASELINE_SQL, "problems_counts": COUNTS_SQL,
     "parse_imports": IMPORTS_SQL, "parse_round_trip": ROUND_TRIP_SQL, "resolve_imports": RESOLVE_SQL, "resolve_module_ids": MODULE_IDS_SQL, "lint_relative_imports": LINT_SQL,
-    "lint_import_cycles": CYCLES_SQL, "fix_rewrites": REWRITES_SQL, "ignored_paths": IGNORED_SQL, "casing_of_names": CASING_SQL, "casing_readings": READINGS_SQL, "near_names": NEAR_SQL,
-}
+    "lint_import_cycles": CYCLES_SQL, "fix_rewrites": REWRITES_SQL, "ignored_paths": IGNORED_SQL, "casing_of_names": CASING_SQL, "casing_readings": READINGS_SQL, "report_transitive": queries_cases.report_transitive_sql(CHAINS_SQL),
+} | queries_cases.SQL

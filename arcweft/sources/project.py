@@ -54,22 +54,22 @@ def local_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The same from any store that Spark reads, distributed: binaryFile for texts, folders from the paths of files."""
+    """The same from any store that Spark reads, distributed: executors read the sources, folders come from the paths of files."""
     from urllib.parse import unquote, urlparse
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
     path = F.expr(f"substring(path, length('{base}') + 1)")
-    wanted = F.col("path").rlike(r"(\.tsx?|\.gitignore)$")
-    content = F.when(wanted, F.expr("if(is_valid_utf8(content), string(content), null)"))
-    read = raw.select(path.alias("path"), F.lit(False).alias("is_dir"), content.alias("content"))
+    content = F.expr("if(is_valid_utf8(content), string(content), null)")
+    texts = reader.option("pathGlobFilter", "*.{ts,tsx}").load(folder).select(path.alias("path"), content.alias("content"), F.lit(True).alias("_read"))
     # the reader leaves out empty files; the listing, which the driver holds anyway, has them
     below = len(urlparse(base).path)
-    names = [unquote(urlparse(u).path)[below:] for u in raw.inputFiles()]
+    names = [unquote(urlparse(u).path)[below:] for u in reader.option("pathGlobFilter", "*").load(folder).inputFiles()]
     listed = spark.createDataFrame([(n,) for n in names], "path string")
-    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(False).alias("is_dir"), F.lit("").alias("content"))
-    files = read.unionByName(empty).unionByName(_hidden(spark, top, below, max((n.count("/") for n in names), default=0)))
+    text = F.when(F.col("_read").isNull() & F.col("path").rlike(r"\.tsx?$"), "").otherwise(F.col("content"))
+    files = listed.join(texts, "path", "left").select("path", F.lit(False).alias("is_dir"), text.alias("content"))
+    files = files.unionByName(_hidden(spark, top, below, max((n.count("/") for n in names), default=0)))
     parts = F.split("path", "/")
     folders = files.filter(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).distinct()
     return files.unionByName(folders.select("path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("content")))

@@ -40,6 +40,13 @@ def test_chains_on_random_multigraphs(spark):
     df = edges_df(spark, all_edges)
     got = {(r.src, r.dst): r.chain for r in graph.reachable(df, df.select("src")).collect()}
     assert got == expected
+    back = {(r.src, r.dst): r.chain for r in graph.reaching(df, df.select("dst")).collect()}
+    assert {k: v for k, v in back.items() if k in expected} == {k: v for k, v in expected.items() if k[1] in {b for _, b in all_edges}}
+    assert {(r.src, r.dst): r.hops for r in graph.distances(df, df.select("src")).collect()} == {k: len(v) - 1 for k, v in expected.items()}
+    few = df.select("src").distinct().orderBy("src").limit(4)
+    for sources, targets in ((few, df.select("dst")), (df.select("src"), few.select(few.src.alias("dst")))):
+        s, t = {r.src for r in sources.collect()}, {r.dst for r in targets.collect()}
+        assert {(r.src, r.dst): r.chain for r in graph.chains_between(df, sources, targets).collect()} == {k: v for k, v in expected.items() if k[0] in s and k[1] in t}
 
 
 def test_components_and_loops_on_random_graphs(spark):
