@@ -8,12 +8,14 @@ the likelier state. The weights are fitted to labelled pages by the gradient of
 
 Labelled pages mark elements with `data-label="1"` or `"0"`; what lies within inherits it. `labelled_pages` writes such
 pages from a seed: articles in many kinds of markup among menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments. They share nothing with the pages that are extracted.
+reader comments, or nothing but prose, with an element around the article or none, in pages that spell out html, head and body or leave them out.
 
 Result: the kept runs in page order; character references decoded; block elements and <br> part blocks; white space within
-a block is one space, blocks are trimmed, empty ones go, the rest are joined by one line feed. Null and empty pages, and
-pages without any content node, give the empty text. Pages are read whole, of any length and depth of nesting; unclosed
-comments and scripts reach to the end of the page. Rows are independent: repeated rows and ids give repeated results.
+a block is one space, blocks are trimmed, empty ones go, the rest are joined by one line feed. What no page shows never counts: scripts,
+styles, head, templates, frames, form controls and the fallbacks of noscript, audio, video and canvas; anything else is up to the
+marginals. Null and empty pages, and pages without any content node, give the empty text. Pages are read whole, of any length and depth
+of nesting, in time linear in their length; unclosed comments and scripts reach to the end of the page. Rows are independent: repeated
+rows and ids give repeated results; empty tables give none. Other columns stay; one with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import html as _html
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,20 +38,27 @@ from pyspark.sql import functions as F
 #: Elements without end, elements whose content is no text of the page, elements that part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-NO_TEXT = RAW | frozenset("head svg math canvas object audio video select option button datalist".split())
+NO_TEXT = RAW - {"xmp"} | frozenset("head canvas audio video select option button datalist".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: An opening tag of the key closes open elements of the value, up to the nearest of the third.
 CLOSES = {
-    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})), "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "option": (frozenset({"option"}), frozenset({"select"})), "body": (frozenset({"head"}), frozenset({"html"})),
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select", "datalist")),
 }
-P_SCOPE = frozenset("table td th caption button object html".split())
-MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+#: What may stand in a head and in a list of options; other tags close these.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
+IN_OPTIONS = frozenset("option optgroup hr script template".split())
+#: Block elements, and others that an open paragraph does not reach beyond.
+BOUNDS = BLOCKS - {"p"} | frozenset("button object".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+STOP = re.compile(r"=\s*+([\"'])|>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Depth up to which trees are passed through level by level, many at once; deeper ones go node by node.
+LEVELS = 200
 #: Fitting: generated pages, gradient steps, penalty on squared weights.
 PAGES, STEPS, PENALTY = 400, 120, 1e-3
 
@@ -62,12 +72,18 @@ class Tree:
     text: list[str]  # of runs, references decoded
     names: list[str]  # class, id and role of elements
     label: list[int]  # 0, 1 or -1
+    depth: int = 0  # of the deepest element
 
 
 def parse(page: str) -> Tree:
-    """A forgiving parse: stray end tags go, missing ones are implied, whatever is no tag is text."""
+    """A forgiving parse: stray end tags go, missing ones are implied, as is a body around what is not in one; whatever is no tag is text.
+
+    Of open elements the depths by tag are kept, so that no tag looks through the elements that stay open.
+    """
     t = Tree([-1], ["#"], [""], [""], [-1])
-    stack, at, skip = [0], 0, 0
+    stack, skip = [0], 0
+    depths: dict[str, list[int]] = {}  # of open elements, by tag; "" has those of BOUNDS
+    endless: set[str] = set()  # quotes that do not come again
 
     def add(tag: str, text: str, names: str, label: int) -> int:
         t.parent.append(stack[-1])
@@ -77,65 +93,123 @@ def parse(page: str) -> Tree:
         t.label.append(label)
         return len(t.tag) - 1
 
+    def push(node: int) -> None:
+        nonlocal skip
+        tag = t.tag[node]
+        depths.setdefault(tag, []).append(len(stack))
+        if tag in BOUNDS:
+            depths.setdefault("", []).append(len(stack))
+        stack.append(node)
+        skip += tag in NO_TEXT
+        t.depth = max(t.depth, len(stack))
+
     def run(text: str) -> None:
-        if text and not skip and not text.isspace():
-            add("", _html.unescape(text), "", -1)
-        elif text and not skip:
-            add("", " ", "", -1)
+        if text and not text.isspace() and (t.tag[stack[-1]] == "head" or not last("body")):
+            make_room("")
+        if text and not skip:
+            add("", _html.unescape(text) if not text.isspace() else " ", "", -1)
 
     def leave(depth: int) -> None:
         nonlocal skip
         for i in stack[depth:]:
             skip -= t.tag[i] in NO_TEXT
+            depths[t.tag[i]].pop()
+            if t.tag[i] in BOUNDS:
+                depths[""].pop()
         del stack[depth:]
 
-    while m := MARKUP.search(page, at):
-        run(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    def last(tag: str) -> int:
+        return found[-1] if (found := depths.get(tag)) else 0
+
+    def make_room(tag: str) -> None:
+        """Leaves the elements that an opening tag ends."""
+        if tag not in IN_HEAD and last("head"):
+            leave(depths["head"][0])
+        if tag not in IN_HEAD and tag != "body" and not last("body"):
+            push(add("body", "", "", -1))
+        if tag not in IN_OPTIONS and (open_list := max(last("select"), last("datalist"))):
+            leave(open_list)
+        if tag in BLOCKS or tag == "button":
+            if last("button"):
+                leave(depths["button"][0])
+            if tag not in IN_OPTIONS and last("option"):
+                leave(depths["option"][0])
+        if tag in CLOSES:
+            close, until = CLOSES[tag]
+            limit = max(map(last, until))
+            gone = [d[k] for name in (*close, "p") if (d := depths.get(name)) and (k := bisect_right(d, limit)) < len(d)]
+            if gone:
+                leave(min(gone))
+        elif tag in BLOCKS and last("p") > last(""):
+            leave(depths["p"][-1])
+
+    def tag_end(at: int) -> int:
+        """Where the `>` of a tag stands; quotes hide it only as those of a value, and only if they close."""
+        while m := STOP.search(page, at):
+            if not m[1]:
+                return m.start()
+            end = -1 if m[1] in endless else page.find(m[1], m.end())
+            if end < 0:
+                endless.add(m[1])
+            at = m.end() if end < 0 else end + 1
+        return -1
+
+    begun, at = 0, page.find("<")
+    while at >= 0:
+        mark, closing = page[at + 1 : at + 2], page.startswith("/", at + 1)
+        if mark in ("!", "?") or closing and not NAME.match(page, at + 2):
+            run(page[begun:at])
+            end = page.find("-->", at + 2) if page.startswith("!--", at + 1) else page.find(">", at + 1)
+            at = begun = len(page) if end < 0 else end + (3 if page.startswith("!--", at + 1) else 1)
+            at = page.find("<", at)
             continue
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[depth]] == tag:
-                    leave(depth)
-                    break
+        m = NAME.match(page, at + 1 + closing)
+        if not m:
+            at = page.find("<", at + 1)
             continue
-        if tag in BLOCKS or tag in CLOSES:
-            close, until = CLOSES.get(tag, (frozenset(), frozenset()))
-            for depth in range(len(stack) - 1, 0, -1):
-                name = t.tag[stack[depth]]
-                if name in until or name in P_SCOPE and not close:
-                    break
-                if name in close or name == "p" and tag in BLOCKS:
-                    leave(depth)
-                    if not close:
-                        break
-                elif name in BLOCKS and not close:
-                    break
-        names, label, hidden = [], -1, False
-        if m[3] and not m[3].isspace():
-            for a in ATTRIBUTE.finditer(m[3]):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if key in ("class", "id", "role"):
-                    names.append(value)
-                elif key == "data-label":
-                    label = int(value) if value in ("0", "1") else -1
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                    hidden = True
-        node = add(tag, "", " ".join(names + ["hidden"] * hidden), label)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
-            at = end.start() if end else len(page)
-            if end:
-                at = page.find(">", at) + 1 or len(page)
-        elif tag not in VOID:
-            stack.append(node)
-            skip += tag in NO_TEXT
-    run(page[at:])
+        end = tag_end(m.end())
+        if end < 0:
+            break  # no tag ends any more: all that is left is text
+        run(page[begun:at])
+        at = begun = end + 1
+        tag = m[0].lower()
+        if closing:
+            if tag not in ("body", "html") and (found := depths.get(tag)):  # what comes after these is still in the body
+                leave(found[-1])
+        elif tag not in ("body", "html") or not last(tag):
+            make_room(tag)
+            names, label = _attributes(page[m.end() : end])
+            node = add(tag, "", names, label)
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
+                if tag == "xmp" and not skip:
+                    t.parent.append(node)
+                    for column, value in ((t.tag, ""), (t.text, page[at : close.start() if close else None]), (t.names, ""), (t.label, -1)):
+                        column.append(value)
+                at = close.start() if close else len(page)
+                begun = at = (page.find(">", at) + 1 or len(page)) if close else at
+            elif tag not in VOID:
+                push(node)
+        at = page.find("<", at)
+    run(page[begun:])
     return t
 
 
+def _attributes(text: str) -> tuple[str, int]:
+    """Class, id and role of a tag, with `hidden` for those that no page shows; its label."""
+    names, label, hidden = [], -1, False
+    if text and not text.isspace():
+        for a in ATTRIBUTE.finditer(text):
+            key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if key in ("class", "id", "role"):
+                names.append(value)
+            elif key == "data-label":
+                label = int(value) if value in ("0", "1") else -1
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+                hidden = True
+    return " ".join(names + ["hidden"] * hidden), label
+
+
 def _bucket(n: float) -> int:
     return int(math.log2(n + 1))
 
@@ -242,18 +316,28 @@ def train(pages: list[str], steps: int = STEPS) -> Model:
     return Model({f: float(weight[i]) for f, i in index.items()}, ties)
 
 
+def _one_by_one(t: Tree, own: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The marginals of one tree, node by node in and against document order: for trees of any depth."""
+    (e, c), exp, log = np.exp(ties).tolist(), math.exp, math.log  # of elements and of runs of text
+    up, sent = own.tolist(), [0.0] * len(own)
+    for i in range(len(up) - 1, 0, -1):
+        k, x = e if t.tag[i] else c, exp(max(min(up[i], 40.0), -40.0))
+        sent[i] = log((k[1][0] + k[1][1] * x) / (k[0][0] + k[0][1] * x))
+        up[t.parent[i]] += sent[i]
+    for i in range(1, len(up)):
+        k, above = e if t.tag[i] else c, exp(max(min(up[t.parent[i]] - sent[i], 40.0), -40.0))
+        up[i] += log((k[0][1] + k[1][1] * above) / (k[0][0] + k[1][0] * above))
+    return 1 / (1 + np.exp(-np.clip(np.array(up), -40, 40)))
+
+
 def main_texts(pages: list[str | None], model: Model) -> list[str]:
     """The main text of each page."""
     trees = [parse(p or "") for p in pages]
     get = model.weights.get
-    own = np.array([sum(get(f, 0.0) for f in fs) for t in trees for fs in features(t)])
-    p, _ = Forest(trees).marginals(own, model.ties)
-    out, at = [], 0
-    for t in trees:
-        content = p[at : at + len(t.tag)] > 0.5
-        at += len(t.tag)
-        out.append(_joined(t, content))
-    return out
+    own = [np.array([sum(get(f, 0.0) for f in fs) for fs in features(t)]) for t in trees]
+    flat = [i for i, t in enumerate(trees) if t.depth <= LEVELS]
+    found = dict(zip(flat, np.split(Forest([trees[i] for i in flat]).marginals(np.concatenate([own[i] for i in flat]), model.ties)[0], np.cumsum([len(own[i]) for i in flat])[:-1]), strict=True)) if flat else {}
+    return [_joined(t, (found[i] if i in found else _one_by_one(t, own[i], model.ties)) > 0.5) for i, t in enumerate(trees)]
 
 
 def _joined(t: Tree, content: np.ndarray) -> str:
@@ -292,14 +376,13 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[str]:
         return " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(k))
 
     def sentences(k: int) -> str:
-        return " ".join(words(r.randint(1, 16)).capitalize() + r.choice(". . . , ! ? &amp; %%% :".split()) for _ in range(k))
+        return " ".join(words(r.randint(1, 16)).capitalize() + r.choice(". . . , ! ? : ;".split()) for _ in range(k))
 
     def inline(k: int) -> str:
         parts = []
         for _ in range(k):
-            s = sentences(1)
-            kind = r.random()
-            parts.append(f"<b>{s}</b>" if kind < 0.06 else f"<b>{s}<br>" if kind < 0.09 else f'<a href="/x">{s}</a>' if kind < 0.15 else f"<em>{s}</em>" if kind < 0.2 else f"<span>{s}</span>" if kind < 0.24 else s)
+            s, kind, tag = sentences(1), r.random(), r.choice("b i em strong span u code small font".split())
+            parts.append(f"<{tag}>{s}</{tag}>" if kind < 0.15 else f"<{tag}>{s}" + r.choice(["", "<br>"]) if kind < 0.18 else f'<a href="/x">{s}</a>' if kind < 0.24 else s + r.choice(["<br>", " <br><br>"]) if kind < 0.27 else s)
         return " ".join(parts)
 
     def named(kind: str) -> str:
@@ -353,25 +436,41 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[str]:
             return f"<div>{inline(2)}</div>"
         return f"<section><h2>{words(3)}</h2><p>{inline(3)}</p></section>"
 
+    def shell(main: str, label: str) -> str:
+        """The page around its body, spelled out or not."""
+        head = f'<meta charset="utf-8"><title>{words(4)}</title><style>p{{}}</style><script>var a = 1;</script>'
+        begin, end = r.choice([("<!DOCTYPE html>\n<html>", "</html>"), ("<html lang=x>", "</html>"), ("<!doctype html>", ""), ("", "")])
+        head = r.choice([f"<head>{head}</head>", f"<head>{head}</head>\n", f"<head>{head}", head, ""])
+        body, close = (f"<body{label}>", r.choice(["</body>", ""])) if label or r.random() < 0.8 else ("", "")
+        return f"{begin}{head}{body}{main}{close}{end if r.random() < 0.9 else ''}"
+
     pages = []
     for _ in range(n):
         blocks = [body_block() for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12]))]
-        if r.random() < 0.25:
-            blocks.insert(r.randint(0, len(blocks)), junk(r.choice(["ad", "side", "share", "notice", "form"])))
         title = f"<h1>{words(r.randint(1, 9))}</h1>" if r.random() < 0.85 else ""
-        tag = r.choice("article article article main div section".split())
-        name = named("content") if tag in ("div", "section") or r.random() < 0.3 else ""
-        core = f'<{tag}{name} data-label="1">{title}{"".join(blocks)}</{tag}>'
-        if r.random() < 0.15:
-            core = core.replace(f"</{tag}>", junk("comments") + f"</{tag}>") if core.count(f"</{tag}>") == 1 else core + junk("comments")
         around = [k for k in ("menu", "header", "ad", "notice", "side", "form", "share") if r.random() < 0.45]
+        after = [*(["comments"] if r.random() < 0.35 else []), *(["footer"] if r.random() < 0.85 else [])]
         r.shuffle(around)
+        kind = r.random()
+        if kind < 0.12:  # nothing but prose, or hardly anything else
+            around, after = around[:1] if r.random() < 0.4 else [], after[-1:] if r.random() < 0.3 else []
+        if r.random() < 0.25:
+            blocks.insert(r.randint(0, len(blocks)), junk(r.choice(["ad", "side", "share", "notice", "form"])))
+        tag, label = r.choice("article article article main div section".split()), ""
+        name = named("content") if tag in ("div", "section") and r.random() < 0.75 or r.random() < 0.3 else ""
+        if kind < 0.22 and r.random() < 0.6:  # nothing around the article but the body, or not even that
+            if r.random() < 0.45:
+                title, blocks = r.choice(["", title]), r.choice([[f"<p>{words(r.randint(1, 5))}</p>"], [sentences(r.randint(1, 9))], [f"<div>{sentences(2)}</div>"]])
+            core, label = title + "".join(blocks), ' data-label="1"'
+        else:
+            core = f'<{tag}{name} data-label="1">{title}{"".join(blocks)}</{tag}>'
+            if r.random() < 0.15:
+                core = core.replace(f"</{tag}>", junk("comments") + f"</{tag}>") if core.count(f"</{tag}>") == 1 else core + junk("comments")
         split = r.randint(0, len(around))
-        after = [*around[split:], *(["comments"] if r.random() < 0.35 else []), *(["footer"] if r.random() < 0.85 else [])]
-        main = "".join(junk(k) for k in around[:split]) + core + "".join(junk(k) for k in after)
-        if r.random() < 0.35:
-            main = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container'])}>{main}</div>"
-        pages.append(f'<!DOCTYPE html><html lang="x"><head><meta charset="utf-8"><title>{words(4)}</title><style>p{{}}</style><script>var a="</p>";</script></head><body>{main}' + ("</body></html>" if r.random() < 0.9 else ""))
+        main = "".join(junk(k) for k in around[:split]) + core + "".join(junk(k) for k in [*around[split:], *after])
+        if not label and r.random() < 0.35:
+            main = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container', ' id=root', ' id=app'])}>{main}</div>"
+        pages.append(shell(main, label))
     return pages
 
 
