@@ -7,8 +7,10 @@ a model is to learn from, `turns` and `loss_text` read a rendering back.
 
 Events are (conv_id, seq, msg, kind, role, text): seq orders the log, msg orders the messages of a conversation. Two
 levels of grouping keep tasks small: events meet by message, messages by blocks of `BLOCK` neighbours; only finished
-blocks of a conversation meet. An empty log gives no rows; columns other than those named are not read; null conversation
-ids are one conversation, null message numbers stand first in theirs.
+blocks of a conversation meet. What a regeneration takes back further on is known from one number a block, summed up over the blocks
+of a conversation, and from the regenerations in a message's own block. An empty log gives no rows; columns other than those
+named are not read; null conversation ids are one conversation, null message numbers stand first in theirs. Texts are of any
+length; a rendered conversation is one string, so that it is bounded by what a string of Spark holds (2 GB).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Neighbouring message numbers whose messages are rendered together.
 BLOCK = 64
@@ -45,8 +48,28 @@ TEMPLATE = Template()
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a finished table (conv_id, turn, role, text): one `message` event a row."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    """A log that leaves a finished table (conv_id, turn, role, text) behind, four events a turn at most.
+
+    By a hash of conversation and turn, a message comes at once, streamed in two deltas, edited from a draft, or
+    regenerated after a first answer. Turns that stand more than once are messages each.
+    """
+    alone = F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn")) == 1
+    way = F.when(alone & F.col("turn").isNotNull(), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))).otherwise(0)
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), way.alias("_way"))
+    half = (F.length("text") / 2).cast("int")
+    first, second = F.expr("left(text, cast(length(text) / 2 as int))"), F.substring("text", half + 1, F.length("text"))
+    event = lambda k, kind, text, role="role": F.struct((4 * F.col("turn") + k).alias("seq"), F.lit(kind).alias("kind"), (F.col(role) if role else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+    log = (
+        F.when(F.col("_way") == 1, F.array(event(0, "message", first), event(1, "delta", second, None)))
+        .when(F.col("_way") == 2, F.array(event(0, "message", F.lit("a draft")), event(1, "edit", F.col("text"))))
+        .when(F.col("_way") == 3, F.array(event(0, "message", F.lit("a first")), event(1, "delta", F.lit(" answer"), None), event(2, "regenerate", F.lit("")), event(3, "delta", F.col("text"), None)))
+        .otherwise(F.array(event(0, "message", F.col("text"))))
+    )
+    return rows.select("conv_id", F.col("turn").alias("msg"), F.explode(log).alias("_event")).select("conv_id", "_event.seq", "msg", "_event.kind", "_event.role", "_event.text")
+
+
+def block_of(msg: Column) -> Column:
+    return F.floor(msg / BLOCK)
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -57,12 +80,16 @@ def messages(events: DataFrame) -> DataFrame:
     last `edit` or `regenerate` of a message is void; so is what was logged to it before a `regenerate` of an earlier
     message. Deltas that nothing opens open a turn. Null roles and texts count as empty.
     """
-    again = events.filter("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_list(F.struct("msg", "seq")).alias("_again"))
+    renewed = F.when(F.col("kind") == "regenerate", F.struct("msg", "seq"))
+    again = events.groupBy("conv_id", block_of(F.col("msg")).alias("_block")).agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("_top"), F.collect_list(renewed).alias("_again"))
+    before = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    again = again.withColumn("_before", F.max("_top").over(before)).filter("_before is not null or size(_again) > 0").select(F.col("conv_id").alias("_conv"), "_block", "_again", "_before")
     event = F.struct("seq", (~F.col("kind").isin(*OPENS)).alias("_adds"), "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by_message = events.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(event)).alias("_events"))
-    by_message = by_message.withColumnRenamed("conv_id", "_conv").join(again, F.col("_conv").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("_conv", "conv_id")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & block_of(F.col("msg")).eqNullSafe(F.col("_block"))
+    by_message = by_message.join(again, same, "left").drop("_conv", "_block")
     own = F.array_max(F.transform(F.filter("_events", lambda e: e["kind"].isin("edit", "regenerate")), lambda e: e["seq"]))
-    others = F.array_max(F.transform(F.filter("_again", lambda a: a["msg"] < F.col("msg")), lambda a: a["seq"]))
+    others = F.greatest("_before", F.array_max(F.transform(F.filter("_again", lambda a: a["msg"] < F.col("msg")), lambda a: a["seq"])))  # of what is not null
     live = F.filter("_events", lambda e: (F.col("_own").isNull() | (e["seq"] >= F.col("_own")) | e["seq"].isNull()) & (F.col("_others").isNull() | (e["seq"] > F.col("_others"))))
     by_message = by_message.withColumns({"_own": own, "_others": others}).withColumn("_live", live).filter(F.size("_live") > 0)
     opened = F.filter(F.transform("_live", lambda e, i: F.when(~e["_adds"] | (i == 0), i)), lambda i: i.isNotNull())
@@ -77,8 +104,7 @@ def render(folded: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     wrapped = lambda t: F.concat(F.lit(template.turn), template.escape(t["role"]), F.lit(template.text_mark))
     part = lambda t: F.struct(wrapped(t).alias("head"), template.escape(t["text"]).alias("body"), (t["role"] == template.learn).alias("learn"))
     parts = folded.select("conv_id", "msg", F.transform("turns", part).alias("_parts"))
-    block = F.floor(F.col("msg") / BLOCK).alias("_block")
-    blocks = parts.groupBy("conv_id", block).agg(F.array_sort(F.collect_list(F.struct("msg", "_parts"))).alias("_all"))
+    blocks = parts.groupBy("conv_id", block_of(F.col("msg")).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("msg", "_parts"))).alias("_all"))
     blocks = blocks.withColumn("_parts", F.flatten(F.transform("_all", lambda m: m["_parts"]))).drop("_all")
     text = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(template.end))), "")
     # start of each part: lengths summed up, within the block
