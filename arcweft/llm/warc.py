@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcweft.llm.common import ranked
+from arcweft.llm.common import cut, ranked
 
-#: Records of a file; children of a node of the tree.
-PER_FILE, FANOUT = 512, 8
+#: Records of a file; children of a node of the tree; nodes that differ (16 bytes each) that are sent to every task.
+PER_FILE, FANOUT, BROADCAST = 512, 8, 100_000
 #: Fixed values of the format.
 VERSION, LINE, DATE = "WARC/1.1", "\r\n", "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, record, length, digest): every page as a WARC record, with its bytes and their SHA-256; no exchange."""
+def records(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, url, record, length, digest, and columns to keep): every page as a WARC record, with its bytes and their SHA-256; no exchange."""
     block = F.coalesce("html", F.lit(""))
     hashed = F.sha2(block, 256)
     name = F.md5(F.concat_ws("\n", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), hashed))
@@ -45,7 +45,7 @@ def records(pages: DataFrame) -> DataFrame:
         F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(*[x for f in fields for x in (f, F.lit(LINE))], F.lit(LINE), block, F.lit(LINE + LINE))
-    return pages.select("page_id", "url", record.alias("record")).withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+    return pages.select("page_id", "url", *keep, record.alias("record")).withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
 
 
 def manifest(found: DataFrame) -> DataFrame:
@@ -56,11 +56,14 @@ def manifest(found: DataFrame) -> DataFrame:
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def placed(made: DataFrame) -> DataFrame:
-    """(file, ordinal, record) of `records`, for `write`; texts move once, to meet their place."""
+def placed(made: DataFrame, where: DataFrame | None = None) -> DataFrame:
+    """(file, ordinal, record) of `records`, for `write`; texts move once, to meet their place.
+
+    `where` is a manifest (page_id, digest, file, ordinal) that is known already; digests are those it was made from.
+    """
     same = ["page_id", "digest"]
     nth = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))  # noqa: E731  of records equal byte by byte
-    where = manifest(made.select("page_id", "length", "digest"))
+    where = manifest(made.select("page_id", "length", "digest")) if where is None else where.select(*same, "file", "ordinal")
     where = where.withColumn("_nth", nth(F.col("file") * PER_FILE + F.col("ordinal")))
     made = made.select("page_id", "digest", "record").withColumn("_nth", nth(F.lit(0)))
     return made.join(where, [made[c].eqNullSafe(where[c]) for c in [*same, "_nth"]]).select("file", "ordinal", "record")
@@ -95,8 +98,8 @@ def levels(records: int = PER_FILE) -> int:
 def audit(one: DataFrame, other: DataFrame, top: int | None = None) -> DataFrame:
     """(file, ordinal) of the leaves that differ between two trees, found from the roots down.
 
-    Each level joins only the children of nodes that differ on the level above; equal subtrees are never read further.
-    Files, nodes and records that one side lacks differ.
+    Each level joins only the children of nodes that differ on the level above. Up to `BROADCAST` such nodes go to where the level
+    lies, so that of equal subtrees nothing is moved or compared; of more, both sides are dealt out. Files, nodes and records that one side lacks differ.
     """
     top = levels() if top is None else top
     at = lambda t, k, name: t.filter(F.col("level") == k).select("file", "node", F.col("hash").alias(name))
@@ -104,7 +107,10 @@ def audit(one: DataFrame, other: DataFrame, top: int | None = None) -> DataFrame
     for k in range(top, -1, -1):
         a, b = at(one, k, "_a"), at(other, k, "_b")
         if wrong is not None:
+            wrong = cut(wrong)
             parents = wrong.select("file", F.explode(F.sequence(F.col("node") * FANOUT, F.col("node") * FANOUT + FANOUT - 1)).alias("node"))
+            if wrong.count() <= BROADCAST:
+                parents = F.broadcast(parents)
             a, b = a.join(parents, ["file", "node"], "left_semi"), b.join(parents, ["file", "node"], "left_semi")
         wrong = a.join(b, ["file", "node"], "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("file", "node")
     return wrong.withColumnRenamed("node", "ordinal")
@@ -191,14 +197,19 @@ def parse(content: bytes) -> list[dict]:
     return out
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ordinal, offset, length, type, url, block, digest) of all records of WARC files, plain or gzip."""
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, ordinal, offset, length, type, url, block, digest) of all records of files (path, content), a slice of a file at a time."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                if found := parse(bytes(content)):
-                    yield pd.DataFrame(found).assign(path=name)[["path", "ordinal", "offset", "length", "type", "url", "block", "digest"]]
+                found = parse(bytes(content))
+                for at in range(0, len(found), 64):
+                    yield pd.DataFrame(found[at : at + 64]).assign(path=name)[["path", "ordinal", "offset", "length", "type", "url", "block", "digest"]]
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(rows, "path string, ordinal long, offset long, length long, type string, url string, block binary, digest string")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """What `parsed` finds in WARC files, plain or gzip. A file is one row, so that files have to be of bounded size, as those of `write` are."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
