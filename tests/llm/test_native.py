@@ -4,6 +4,7 @@ import re
 from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from arcweft.llm import chat, fingerprint, mixing, queries_native
@@ -32,6 +33,43 @@ def test_deltas_edits_and_regenerations(spark):
     assert got[2] == ([("user", "lone")], "") and got[3] == ([("", ""), ("", "")], "") and got[None] == ([("assistant", "n")], "n")
 
 
+def plain_fold(events):
+    """What a log leaves, by going through it event by event."""
+    texts = {}
+    for _, seq, msg, kind, role, text in sorted(events, key=lambda e: e[1]):
+        if kind == "regenerate":
+            for m in [m for m in texts if m > msg]:
+                del texts[m]
+        if kind == "delta" and msg in texts:
+            texts[msg] = (texts[msg][0], texts[msg][1] + text)
+        else:
+            texts[msg] = (role, text)
+    return [texts[m] for m in sorted(texts)]
+
+
+def test_logs_of_many_blocks_fold_as_one_by_one(spark):
+    r, events = random.Random(3), []
+    for conv in range(12):
+        seq = 0
+        for _ in range(r.choice([3, 40, 400])):
+            msg, kind = r.randrange(r.choice([4, 90, 300])), r.choice(["message", "delta", "delta", "edit", "regenerate"] if r.random() < 0.2 else ["message", "delta", "edit"])
+            events.append((conv, seq, msg, kind, r.choice(["user", "assistant"]), f"t{seq} "))
+            seq += 1
+    shuffled = [(c, s, m, "edit" if k == "message" else k, role, text) for c, s, m, k, role, text in events]  # a second `message` would open a turn of its own
+    r.shuffle(shuffled)
+    got = fold(spark, shuffled)
+    for conv in range(12):
+        assert got.get(conv, ([],))[0] == plain_fold([e for e in shuffled if e[0] == conv]), conv
+
+
+def test_log_of_a_table_uses_all_kinds(spark):
+    table = spark.createDataFrame([(c, t, "user", f"text {t}") for c in range(8) for t in range(9)], "conv_id long, turn long, role string, text string")
+    log = chat.events_of(table)
+    assert {e.kind for e in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    back = chat.messages(log).select("conv_id", "msg", F.explode("turns").alias("t")).select("conv_id", "msg", "t.role", "t.text")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))
+
+
 def test_control_strings_come_back(spark):
     r = random.Random(2)
     parts = ["<|turn|>", "<|text|>", "<|end|>", "<", "|", "\\", "<\\|", "<\\\\|end|>", "</s>[INST]", "\n", "é", "x", ""]
@@ -178,6 +216,50 @@ def test_sentence_lanes_across_runs(spark):
     assert got["sum"] == whole and got["rest"] == first and whole[-1] == 70_000
 
 
+def plain_fingerprint(text):
+    """Counts without bounds: sums of paragraph lanes, and of each bit of the sentences' hashes."""
+    signed = lambda x, bits: x & ((1 << bits) - 1)
+    spark_hash = lambda t, n: xxhash.xxh64_intdigest(n.to_bytes(4, "little"), xxhash.xxh64_intdigest(t.encode(), 42))
+    wide = [[0, 0] for _ in range(4)]
+    for p in text.split("\n"):
+        for i in range(4):
+            h = spark_hash(p, i)
+            wide[i][0] += signed(h, 31)
+            wide[i][1] += signed(h >> 32, 30)
+    sentences = [s for s in re.split(r"(?<=[.!?])[ \t]+|\n", text) if s]
+    bits = [[sum(h >> b & 1 for h in hashes) for b in range(64)] for hashes in ([spark_hash(s, 100 + k) for s in sentences] for k in range(2))]
+    longs = [(lo % 2**31) | (hi % 2**30) << 32 for lo, hi in wide]
+    longs += [bits[k][j] | bits[k][j + 32] << 32 for k in range(2) for j in range(16)] + [bits[k][j + 16] | bits[k][j + 48] << 32 for k in range(2) for j in range(16)]
+    return "".join(f"{x:016x}" for x in [*longs, len(sentences)]), ([b for row in bits for b in row], len(sentences))
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    square = lambda bits, n: sum((2 * x - n) ** 2 for x in bits)
+    (x, n), (y, m) = a[1], b[1]
+    both = square(x, n) + square(y, m)
+    return max(0.0, min(1.0, 1 - square([p - q for p, q in zip(x, y, strict=True)], n - m) / both)) if both else 0.0
+
+
+def test_fingerprint_query_against_a_plain_version(spark, tmp_path):
+    r = random.Random(4)
+    sentence = lambda: " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(1, 7))) + r.choice(". ! ? ,".split())
+    texts = ["\n".join(" ".join(sentence() for _ in range(r.randint(0, 5))) for _ in range(r.randint(1, 6))) for _ in range(40)] + ["", None, "é", texts_end := "a. b.\n\nc", texts_end]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries_native.op9_fingerprint(spark, str(tmp_path)).collect()}
+    whole = [t or "" for t in texts]
+    for i, t in enumerate(whole):
+        after = whole[(i + 1) % len(whole)]
+        need = len(t) // 2
+        edited = t[: len(t) - need] + after[:need]
+        own, other, follows = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(after)
+        assert got[i].fingerprint == own[0] and got[i].edited_fingerprint == other[0]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert got[i].near_edited == pytest.approx(plain_likeness(own, other)) and got[i].near_next == pytest.approx(plain_likeness(own, follows))
+
+
 def edited_texts(rows):
     """Brute force over distinct (id, text), nulls last."""
     order = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda x: x[:2])
