@@ -6,7 +6,7 @@ changes three leaves (the pair itself, the one before, the one that is gone), ea
 a piece of n bytes takes O(n log n) whatever its length. Pieces repeat, so their ids are kept in a table of bounded size.
 
 Encoded texts are binary: ids as little-endian unsigned 32-bit integers, one after the other (`as_array` unpacks them).
-Null texts count as empty; empty texts have no ids. Texts are encoded whole, of whatever length. Ids that the file does
+Null texts count as empty; empty texts have no ids. Texts are encoded whole, of whatever length. Rows are independent, whatever repeats; empty tables give no rows; other columns stay. Ids that the file does
 not know are a decoding error; bytes that are no UTF-8 decode to replacement characters, as the library does it.
 """
 
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import give_back, held
+from arcweft.llm.common import free_name, give_back, held
 
 #: Fixed value: the byte-level split pattern that tokenizer files of this kind imply.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,9 +195,10 @@ class Codec:
         return docs.withColumn(name, self._decode(F.col(ids)))
 
     def round_trip(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """`docs` with ids and decoded, the text that the ids decode to, by one Python worker a task."""
-        out = docs.withColumn("_both", self._both(F.col(text)))
-        return out.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).drop("_both")
+        """`docs` with ids and decoded (in place of columns of these names), the text that the ids decode to, by one Python worker a task."""
+        held_in = free_name(docs, "both")
+        out = docs.withColumn(held_in, self._both(F.col(text)))
+        return out.withColumns({"ids": F.col(f"{held_in}.ids"), "decoded": F.col(f"{held_in}.decoded")}).drop(held_in)
 
 
 class _Shared:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,31 +21,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch where rows hold whole texts: batches are counted in rows, and texts may be long.
-TEXTS_PER_BATCH = 1000
+#: Bounds of an Arrow batch where rows hold whole texts: rows, and bytes (a longer text is a batch of its own).
+TEXTS_PER_BATCH, BYTES_PER_BATCH = 1000, 16 << 20
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with whole texts. Lowers the session's rows per Arrow batch to TEXTS_PER_BATCH, if it is larger."""
+    """A table with whole texts. Lowers the session's bounds of an Arrow batch, see `small_batches`."""
     small_batches(spark)
     return table(spark, sf_dir, name)
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXTS_PER_BATCH:
-        spark.conf.set(key, str(TEXTS_PER_BATCH))
+    """Lowers the session's rows and bytes per Arrow batch to the bounds above, where they are larger, for what it runs from now on.
 
+    The setting is read when a query runs, after the operator has returned, so that it cannot be put back here.
+    """
+    for key, most in (("maxRecordsPerBatch", TEXTS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None) or "0"
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder that the cluster shares (spark.checkpoint.dir; a folder of our own only where none is set)."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints and tables between steps: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own serves a session whose tasks run in the driver's process; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/arcweft")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/checkpoints/arcweft")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of tables between steps, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as it takes to be no column of `df` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ranked(df: DataFrame, by: Sequence[str], group: str | None = None, name: str = "rank", per_group: DataFrame | None = None) -> DataFrame:
     """Add a row number from 0 (within `group`, if given) in the order of `by`, nulls last, without one task that holds a group.
 

@@ -2,7 +2,8 @@
 
 Characters are predicted within words: a text's words (runs of letters, lower case, cut at `LONGEST`) stand between spaces,
 and a character is predicted from up to `ORDER - 1` characters before it in its word. Counts come from a bounded sample of
-labelled rows (`per_language` rows of each language, drawn by a hash of the id); they are gathered by a group-by.
+labelled rows (of each language about `per_language` rows or `CHARS` code points, whichever is less, drawn by a hash of id and text; rows
+of a language that repeat a text count once); they are gathered by a group-by and smoothed in one executor task, of which only the model comes to the driver.
 
 A model holds, for each order, the hashes of the n-grams that any language has, sorted, and beside them per language the
 interpolated log probability of the last character and the log weight that the n-gram, as a context, hands down. Scoring
@@ -23,6 +24,7 @@ first. Without any labelled row every text is `und`. Other columns are handed th
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import uuid
 from collections import Counter
@@ -38,8 +40,8 @@ from arcweft.llm.common import cut, give_back, held
 
 #: n-gram order, longest stretch of letters taken as one word, characters from which on length adds no certainty.
 ORDER, LONGEST, STEADY = 5, 40, 60
-#: Labelled rows of each language that the model is made from: a documented bound on the sample, not on what is scored.
-PER_LANGUAGE = 500
+#: Labelled rows and code points of each language that the model is made from: documented bounds on the sample, not on what is scored.
+PER_LANGUAGE, CHARS = 500, 4_000_000
 #: Rows kept out of the counts that a language's own bound takes at least; parts of a cross-validation.
 CALIBRATED, FOLDS = 5, 10
 #: Words whose sums a worker keeps.
@@ -48,18 +50,19 @@ WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST).findall
 UNDETERMINED = "und"
 
 
-def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text, calibrate): about `per_language` rows of each language, all of them if there are fewer.
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS) -> DataFrame:
+    """(lang, text, calibrate): about `per_language` rows or `chars` code points of each language, all rows if that is less.
 
     A row is drawn if the hash of its id and text lies under the language's share; a fifth of them is for calibration.
     """
     rows = labelled.filter("lang is not null and text is not null")
-    shares = {r.lang: per_language * (1 << 20) / r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).collect()  # a row a language
+    shares = {r.lang: min(per_language / r.n, chars / max(r.chars, 1)) * (1 << 20) for r in found}
     if not shares:
         return rows.select("lang", "text", F.lit(False).alias("calibrate"))
     under = F.create_map(*[F.lit(x) for item in sorted(shares.items()) for x in item])[F.col("lang")]
     drawn = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_h")).filter(F.col("_h") < under)
-    return drawn.select("lang", "text", (F.col("_h") % 5 == 0).alias("calibrate"))
+    return drawn.groupBy("lang", "text").agg(F.min("_h").alias("_h")).select("lang", "text", (F.col("_h") % 5 == 0).alias("calibrate"))
 
 
 def _counted(words: Counter[str]) -> Counter[str]:
@@ -245,17 +248,25 @@ def smooth(counts: dict[str, dict[str, int]], letters: int | None = None) -> Mod
     return Model(langs, hashes, logp, weight, floor, np.zeros(len(langs)), np.full(len(langs), np.inf))
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from rows of (doc_id, text, lang). What comes to the driver is bounded by the sample."""
-    drawn = cut(sample(labelled, per_language))
-    grams = drawn.filter("not calibrate").select("lang", "text").mapInPandas(_ngrams, "lang string, gram string, n long")
+def _smoothed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From all rows (lang, gram, n): one row with the model and the number of letters."""
     counts: dict[str, dict[str, int]] = {}
-    for row in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts.setdefault(row.lang, {})[row.gram] = row.n
+    for batch in batches:
+        for lang, own in batch.groupby("lang"):
+            counts.setdefault(lang, {}).update(zip(own["gram"], own["n"].tolist(), strict=True))
     letters = letters_of(counts)
-    model = smooth(counts)
+    model = pickle.dumps(smooth(counts))
     del counts
     give_back()
+    yield pd.DataFrame({"model": [model], "letters": [letters]})
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """A model from rows of (doc_id, text, lang). What comes to the driver is bounded by the sample: the model and a row a calibrating text."""
+    drawn = cut(sample(labelled, per_language))
+    grams = drawn.filter("not calibrate").select("lang", "text").mapInPandas(_ngrams, "lang string, gram string, n long")
+    made = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).repartition(1).mapInPandas(_smoothed, "model binary, letters long").first()
+    model, letters = (pickle.loads(made.model), made.letters) if made else (smooth({}), 1)
     kept_out = identify(drawn.filter("calibrate"), model, name="_found").select("lang", "_found.*").filter("n_letters > 0").collect()
     calibrate(model, [(r.lang, r.entropy, r.n_letters) for r in kept_out if r.lang == r.lang_pred], drawn, letters)
     return model

@@ -7,6 +7,9 @@ taken differ from the target by less than about the size of the largest document
 
 Targets: the sources in code-point order (null last) weigh `WEIGHTS` in turn, and share `share` times all words. No
 target exceeds `most` times its source's words; the excess is dealt again by weight until no target does.
+
+Null and empty texts have size 0 and come once for each boundary they cross, texts of any length count whole; null sources are one source.
+Rows that repeat each count. `mix` keeps all columns whatever their names; only doc_id, source and text are read. Empty tables give no rows.
 """
 
 from __future__ import annotations

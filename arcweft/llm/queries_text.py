@@ -34,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0))
     out = toxicity.score(docs.select("doc_id", "text", F.coalesce(F.col("_fold") == 0, F.lit(False)).alias("held_out")), model)
-    return out.select("doc_id", "held_out", F.col("toxicity.score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.spans").alias("n_spans"))
+    return out.select("doc_id", "held_out", F.col("toxicity.score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.spans").alias("n_spans"), F.to_json("toxicity.spans").alias("spans"))
 
 
 QUERIES = {"op1_html_text": op1_html_text, "op2_bpe": op2_bpe, "op5_toxicity": op5_toxicity, "op10_language_id": op10_language_id}

@@ -1,23 +1,29 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are words (runs of letters, lower case); a line's words are one chain, lines over `CHAIN` words are several. Two
+Tokens are words (runs of letters, their features in lower case); a line's words are one chain, however many they are. Two
 states, clean and toxic; a token speaks for a state by its features (word, prefixes of 3 to 6 letters, suffixes of 3
 and 4), a pair of neighbours by the transition. Forward-backward gives every token's marginal; tokens over one half that
-stand together are an offending span; a logistic function of the marginals' sum and maximum scores the document.
+stand together are an offending span; a logistic function of the marginals' sum and maximum scores the document. Messages
+take a step in all chains at once; chains over `PIECE` words are cut for that, and what enters a piece on either side is
+carried there by the products of its transfer matrices, so that marginals are those of the whole chain.
 
 Labelled tokens: documents carry the labels, so a token of a toxic document is labelled toxic if one of its features
 is; a feature is toxic if documents that have it are labelled toxic so often that chance is ruled out (log-likelihood
 ratio over `EVIDENCE`) and at least `PURITY` of them. All other tokens are labelled clean. The field is then fitted to
 these tokens by its likelihood's gradient, and the logistic function to documents that took no part in that.
 
-Learning uses a bounded sample: about `PER_LABEL` toxic rows and twice as many clean ones, drawn by a hash of the id. Scoring reads whole
+Learning uses a bounded sample: about `PER_LABEL` toxic ids and twice as many clean ones, drawn by a hash of the id, in the order of
+that hash for as long as their texts have `CHARS` code points together (whole texts only; each label counts for itself). An id that
+repeats counts once, as toxic if any of its labels is, with the first of its texts in code-point order. The field is fitted in
+one executor task over the sample; only the model comes to the driver. Scoring reads whole
 texts. Null and empty texts, and texts without letters, have no tokens: they get the score of a marginal sum of 0 and no
-spans. Without labelled rows of both labels every score is the share of toxic rows (0 without any). Ids may repeat.
+spans. Without labelled rows of both labels every score is the share of toxic rows (0 without any). Tables may be empty.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import uuid
 from array import array
@@ -31,8 +37,10 @@ from pyspark.sql import functions as F
 
 from arcweft.llm.common import give_back, held
 
-#: Documented bound of the sample: toxic rows, and half the number of clean ones; and words of a chain.
-PER_LABEL, CHAIN = 1500, 256
+#: Documented bounds of the sample: toxic ids, and half the number of clean ones; code points of the texts of each label.
+PER_LABEL, CHARS = 1500, 16_000_000
+#: Words of a chain that messages pass one after the other.
+PIECE = 256
 #: When a feature counts as toxic: log-likelihood ratio, and share of toxic documents among those that have it.
 EVIDENCE, PURITY = 12.0, 0.8
 #: Steps of fitting, penalty on squared weights, words whose weights a worker keeps.
@@ -43,59 +51,100 @@ LINE = "\n"
 
 def features(word: str) -> list[str]:
     """Names of a word's features; boundaries are marked, so that a short word is no prefix of itself."""
+    word = word.lower()
     return [f"={word}", *[f"^{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n], *[f"{word[-n:]}$" for n in (3, 4) if len(word) > n]]
 
 
-def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of chains from the lengths of lines, cut at CHAIN, longest first."""
-    pieces = -(-lengths // CHAIN)
-    line = np.repeat(np.arange(len(lengths)), pieces)
-    nth = np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = (np.cumsum(lengths) - lengths)[line] + nth * CHAIN
-    sizes = np.minimum(CHAIN, lengths[line] - nth * CHAIN)
-    order = np.argsort(-sizes, kind="stable")
-    return starts[order], sizes[order]
+def pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the pieces of chains from their lengths, in order, and which piece of its chain each is."""
+    count = -(-lengths // PIECE)
+    chain = np.repeat(np.arange(len(lengths)), count)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+    return (np.cumsum(lengths) - lengths)[chain] + nth * PIECE, np.minimum(PIECE, lengths[chain] - nth * PIECE), nth
+
+
+def _entries(x: np.ndarray, a: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the forward ratio that its chain brings from before it, and the backward ratio at its last token.
+
+    The first is only meaningful where nth > 0; the second is 1 at a chain's end.
+    """
+    before, behind = np.ones(len(starts)), np.ones(len(starts))
+    last = np.append(nth[1:] == 0, True)
+    long = np.flatnonzero((nth > 0) | ~last)  # pieces of chains of more than one
+    if not len(long):
+        return before, behind
+    order = long[np.argsort(-sizes[long], kind="stable")]
+    product = np.tile(np.eye(2), (len(order), 1, 1))
+    going = np.searchsorted(-sizes[order], -np.arange(1, int(sizes[order[0]]) + 1), side="right")
+    for t, n in enumerate(going):
+        own = x[starts[order[:n]] + t]
+        step = np.empty((n, 2, 2))
+        step[:, :, 0], step[:, :, 1] = a[:, 0], a[:, 1] * own[:, None]
+        if t == 0:  # no transition leads into the first token of a chain
+            step[nth[order[:n]] == 0] = np.eye(2)
+            step[nth[order[:n]] == 0, 1, 1] = own[nth[order[:n]] == 0]
+        done = product[:n] @ step
+        product[:n] = done / done.max((1, 2), keepdims=True)
+    transfer = dict(zip(order.tolist(), product, strict=True))
+    for i in long.tolist():  # one step a piece, from the left and then from the right
+        if not last[i]:
+            v = np.array([1.0, before[i] if nth[i] else 1.0]) @ transfer[i]
+            before[i + 1] = v[1] / max(v[0], 1e-300)
+    for i in reversed(long.tolist()):
+        if nth[i]:
+            u = transfer[i] @ np.array([1.0, behind[i]])
+            behind[i - 1] = u[1] / max(u[0], 1e-300)
+    return before, behind
 
 
 def marginals(speak: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Probability of the toxic state for each token, from its log potential and the 2 by 2 log transitions.
 
-    With two states, each message of forward-backward is one ratio (toxic to clean). All chains take a step at once;
-    they are sorted by length, so that those which go on are a prefix. With `pairs` also the expected transitions.
+    With two states, each message of forward-backward is one ratio (toxic to clean). All pieces take a step at once: they
+    are sorted by length and their tokens laid out by step, so that those which go on are a prefix of the step before.
+    With `pairs` also the expected transitions.
     """
     a = np.exp(moves)
     x = np.exp(np.clip(speak, -30, 30), dtype=np.float64)
-    starts, sizes = chains(lengths)
-    forward, backward = np.empty_like(x), np.ones_like(x)
+    starts, sizes, nth = pieces(lengths)
+    before, behind = _entries(x, a, starts, sizes, nth)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, opens, before, behind = starts[order], sizes[order], nth[order] == 0, before[order], behind[order]
     steps = int(sizes[0]) if len(sizes) else 0
-    going = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right")
-    for t in range(steps):
-        i = starts[: going[t]] + t
-        forward[i] = x[i] if t == 0 else x[i] * (a[0, 1] + forward[i - 1] * a[1, 1]) / (a[0, 0] + forward[i - 1] * a[1, 0])
-    for t in range(steps - 2, -1, -1):
-        i = starts[: going[t + 1]] + t
-        ahead = x[i + 1] * backward[i + 1]
-        backward[i] = (a[1, 0] + a[1, 1] * ahead) / (a[0, 0] + a[0, 1] * ahead)
-    expected = np.zeros((2, 2))
-    if pairs and steps > 1:
-        first = np.ones(len(x), bool)
-        first[starts] = False
-        later = np.nonzero(first)[0]
-        del first
-        for at in range(0, len(later), 1 << 16):
-            i = later[at : at + (1 << 16)]
-            ahead = x[i] * backward[i]
-            joint = np.stack([np.full(len(i), a[0, 0]), a[0, 1] * ahead, forward[i - 1] * a[1, 0], forward[i - 1] * a[1, 1] * ahead])
-            expected += (joint / joint.sum(0)).sum(1).reshape(2, 2)
+    going = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right").tolist()
+    at = np.concatenate([[0], np.cumsum(going)]).astype(np.int64).tolist()
+    place = np.concatenate([starts[:n] + t for t, n in enumerate(going)]) if steps else np.empty(0, np.int64)
+    x = x[place]
+    forward, backward = np.empty_like(x), np.empty_like(x)
+    came = before
+    for t, n in enumerate(going):
+        own = x[at[t] : at[t + 1]]
+        came = own * (a[0, 1] + came[:n] * a[1, 1]) / (a[0, 0] + came[:n] * a[1, 0])
+        if t == 0:
+            came = np.where(opens, own, came)
+        forward[at[t] : at[t + 1]] = came
+    expected, ahead = np.zeros((2, 2)), np.empty(0)
+    for t in range(steps - 1, -1, -1):
+        n, on = going[t], len(ahead)
+        backward[at[t] : at[t] + on] = (a[1, 0] + a[1, 1] * ahead) / (a[0, 0] + a[0, 1] * ahead)
+        backward[at[t] + on : at[t + 1]] = behind[on:n]
+        ahead = x[at[t] : at[t + 1]] * backward[at[t] : at[t + 1]]
+        if pairs:
+            last, now = (forward[at[t - 1] : at[t - 1] + n], ahead) if t else (before[~opens], ahead[~opens])
+            joint = [a[0, 0], a[0, 1] * now, last * a[1, 0], last * now * a[1, 1]]
+            total = joint[0] + joint[1] + joint[2] + joint[3]
+            expected += np.array([(j / total).sum() for j in joint]).reshape(2, 2)
     forward *= backward
-    return forward / (1 + forward), expected
+    out = np.empty_like(forward)
+    out[place] = forward / (1 + forward)
+    return out, expected
 
 
 def lines_of(text: str | None) -> tuple[list[str], list[int]]:
-    """Words of a text and how many each line has."""
+    """Words of a text as they stand in it, and how many each line has."""
     words: list[str] = []
     lengths = []
-    for line in (text or "").lower().split(LINE):
+    for line in (text or "").split(LINE):
         found = TOKENS.findall(line)
         if found:
             words += found
@@ -150,12 +199,9 @@ class Scorer:
     @staticmethod
     def offsets(text: str, p: np.ndarray) -> list[dict[str, int]]:
         """Code-point spans [start, stop) of neighbouring tokens over one half; none crosses a line."""
-        lower = text.lower()
-        if len(lower) != len(text):  # a letter whose lower case is longer: lower one by one, the first letter stands for it
-            lower = "".join(c.lower()[:1] for c in text)
         found: list[dict[str, int]] = []
         k, joined = 0, False
-        for m in TOKENS.finditer(lower):
+        for m in TOKENS.finditer(text):
             if m[0] == LINE:
                 joined = False
                 continue
@@ -179,7 +225,7 @@ class _Corpus:
         self.lines: list[np.ndarray] = []
         for t in texts:  # a generator: one text's words at a time
             words, lengths = lines_of(t)
-            self.words.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+            self.words.append(np.fromiter((vocabulary.setdefault(w.lower(), len(vocabulary)) for w in words), np.int32, len(words)))
             self.lines.append(np.array(lengths, np.int64))
         index: dict[str, int] = {}
         marked = np.zeros(len(vocabulary), bool)
@@ -254,7 +300,7 @@ def _fit_field(model: Model, corpus: _Corpus, learn: np.ndarray, y: np.ndarray,
     label = is_toxic[token] * np.repeat(y[learn], [len(corpus.words[i]) for i in learn])
     observed = np.zeros((2, 2))
     first = np.zeros(len(token), bool)
-    first[chains(lengths)[0]] = True
+    first[np.cumsum(lengths) - lengths] = True
     later = np.nonzero(~first)[0]
     np.add.at(observed, (label[later - 1].astype(int), label[later].astype(int)), 1)
     weight, bias, moves = np.zeros(len(toxic)), -4.0, np.zeros((2, 2))
@@ -283,22 +329,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(beta[0]), float(beta[1]), float(beta[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, chars: int = CHARS) -> Model:
     """A model from texts (doc_id, text) and labels (doc_id, toxic).
 
-    The sample is drawn from the slim labels, so that only its rows, which are bounded, meet the texts and come to the
-    driver. Labels other than 0 and 1, and labels whose id has no text, play no part.
+    The sample is drawn from the slim labels, so that only its ids, which are bounded, meet the texts. Labels other than
+    0 and 1, and labels whose id has no text, play no part.
     """
-    known = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    known = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
     shares = {r.toxic: (2 - r.toxic) * per_label * (1 << 20) / r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     drawn = known.filter(F.when(F.col("toxic") == 1, F.col("_h") < shares.get(1, 0.0)).otherwise(F.col("_h") < shares.get(0, 0.0)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("_h", "doc_id", "text", "toxic").collect()
-    rows = [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: (r._h, r.doc_id, r.text or "", r.toxic))]
-    give_back()
-    model = fit(rows)
-    del rows
-    give_back()
-    return model
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_h", "toxic").agg(F.min("text").alias("text"))  # about 3 per_label ids
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, left = [], {0: chars, 1: chars}
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["toxic"], strict=True):
+                if left[label] >= 0:
+                    left[label] -= len(text or "")
+                    found.append((text, label))
+        model = pickle.dumps(fit(found))
+        del found
+        give_back()
+        yield pd.DataFrame({"model": [model]})
+
+    made = rows.repartition(1).sortWithinPartitions("_h", "doc_id").select("text", "toxic").mapInPandas(fitted, "model binary").first()
+    return pickle.loads(made.model) if made else Model(fallback=0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity", spans: bool = True) -> DataFrame:

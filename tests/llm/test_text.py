@@ -1,6 +1,8 @@
 import itertools
 import random
+import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
-from arcweft.llm import bpe, html, langid, toxicity
+from arcweft.llm import bpe, html, langid, queries_text, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -192,9 +194,30 @@ def test_marginals_by_enumeration():
     assert np.allclose(got, want) and np.allclose(expected_pairs, pairs)
 
 
-def test_long_lines_are_several_chains():
-    starts, sizes = toxicity.chains(np.array([toxicity.CHAIN * 2 + 3, 5]))
-    assert sorted(sizes) == [3, 5, toxicity.CHAIN, toxicity.CHAIN] and sum(sizes) == toxicity.CHAIN * 2 + 8
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64])
+def test_marginals_of_long_chains_do_not_depend_on_pieces(monkeypatch, piece):
+    r = np.random.default_rng(4)
+    for scale in (0.3, 2.0, 8.0):
+        moves, lengths = scale * r.normal(size=(2, 2)), np.array([1, 50, 2, 130, 3, 7, 64, 65])
+        speak = scale * r.normal(size=lengths.sum())
+        monkeypatch.setattr(toxicity, "PIECE", 1000)
+        want, want_pairs = toxicity.marginals(speak, lengths, moves, pairs=True)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        got, got_pairs = toxicity.marginals(speak, lengths, moves, pairs=True)
+        assert np.allclose(got, want) and np.allclose(got_pairs, want_pairs)
+    starts, sizes, nth = toxicity.pieces(np.array([piece * 2 + 1, 1]))
+    assert sizes.tolist() == [piece, piece, 1, 1] and nth.tolist() == [0, 1, 2, 0] and starts[-1] == piece * 2 + 1
+
+
+def test_sample_counts_an_id_once_and_ends_at_its_characters(spark):
+    rows = toxic_rows(300, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, None)] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once, often = toxicity.train(docs, labels), toxicity.train(docs.union(docs).union(docs), labels.union(labels))
+    assert once.weights == often.weights and once.scale == often.scale
+    few = toxicity.train(docs, labels, chars=3000)
+    assert few.weights != once.weights
+    assert toxicity.train(docs, labels, chars=-1).fallback == 0.0
 
 
 def toxic_rows(n, seed):
@@ -226,6 +249,9 @@ def test_toxic_documents_and_spans(spark):
     odd = toxicity.score(spark.createDataFrame([("",), (None,), ("12 !",), ("İ SCOUNDREL x",)], "text string"), model).collect()
     assert len({r.toxicity.score for r in odd[:3]}) == 1 and odd[0].toxicity.score < 0.5 and [len(r.toxicity.spans) for r in odd] == [0, 0, 0, 1]
     assert "İ SCOUNDREL x"[odd[3].toxicity.spans[0].start : odd[3].toxicity.spans[0].stop] == "SCOUNDREL"
+    for text in ("İstanbul SCOUNDREL here", "İİ İstanbulİ\nİ scoundrel", "ǅ ß İ " * 300 + "Scoundrel"):
+        (span,) = toxicity.score(spark.createDataFrame([(text,)], "text string"), model).first().toxicity.spans
+        assert text[span.start : span.stop].lower() == "scoundrel"
     again = {r.doc_id: r.toxicity.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert again == {i: r.toxicity.score for i, r in got.items()}
 
@@ -279,8 +305,6 @@ def test_held_out_pages():
     pages = html.labelled_pages(120, seed=99)
     assert pages != html.labelled_pages(120, seed=98)
     model = html.default_model()
-    import re
-
     got = html.main_texts([re.sub(' data-label="."', "", p) for p in pages], model)
     missing = extra = total = 0
     for page, text in zip(pages, got, strict=True):
@@ -296,7 +320,58 @@ def test_held_out_pages():
 
 
 def test_forgiving_parse():
-    tags = lambda page: [(t.tag[i], t.tag[t.parent[i]]) for t in [html.parse(page)] for i in range(1, len(t.tag)) if t.tag[i]]
-    assert tags("<ul><li>a<li>b</ul><p>x<p>y</i>") == [("ul", "#"), ("li", "ul"), ("li", "ul"), ("p", "#"), ("p", "#")]
-    assert tags("<table><tr><td>1<td>2<tr><td>3</table>z") == [("table", "#"), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
-    assert tags("a < b <br/> <IMG src='>'>") == [("br", "#"), ("img", "#")]
+    tags = lambda page: [(t.tag[i], t.tag[t.parent[i]]) for t in [html.parse(page)] for i in range(1, len(t.tag)) if t.tag[i]][1:]
+    assert tags("<ul><li>a<li>b</ul><p>x<p>y</i>") == [("ul", "body"), ("li", "ul"), ("li", "ul"), ("p", "body"), ("p", "body")]
+    assert tags("<table><tr><td>1<td>2<tr><td>3</table>z") == [("table", "body"), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
+    assert tags("a < b <br/> <IMG src='>'>") == [("br", "body"), ("img", "body")]
+    assert tags("<html><head><title>x</title><meta><p>a</html>b<body class=x><p>c") == [("head", "html"), ("title", "head"), ("meta", "head"), ("body", "html"), ("p", "body"), ("p", "body")]
+    assert tags("<select><option>a<optgroup><option>b<p>c<button>d<p>e") == [("select", "body"), ("option", "select"), ("optgroup", "select"), ("option", "optgroup"), ("p", "body"), ("button", "p"), ("p", "body")]
+    assert tags("<p><span><div>x</div><li><span><li>") == [("p", "body"), ("span", "p"), ("div", "body"), ("li", "body"), ("span", "li"), ("li", "body")]
+    assert tags("<a title=it's>x</a><p don't>") == [("a", "body"), ("p", "body")] and html.parse("<").text[-1] == "<"
+
+
+PROSE = "Some prose that goes on, for a while, with words. And a second sentence, too."
+PARAGRAPH = f"<p>{PROSE}</p>"
+WHOLE = {  # pages that are content but for what is named
+    "<html><head><title>x</title></head><body><h1>Head line here</h1>" + 3 * PARAGRAPH: ["Head line here", *3 * [PROSE]],
+    "<html><head><title>x</title></head><body><h1>Head line here</h1>" + 10 * PARAGRAPH + "</body></html>": ["Head line here", *10 * [PROSE]],
+    "<body><p>Some prose here, in one paragraph. It is short.</p>": ["Some prose here, in one paragraph. It is short."], "<body><p>prose</p>": ["prose"],
+    "just some plain text, no markup at all. Really none.": ["just some plain text, no markup at all. Really none."],
+    '<html><body><div id="root"><h1>Head</h1>' + 5 * PARAGRAPH + "</div></body></html>": ["Head", *5 * [PROSE]],
+    "<title>x</title><meta charset=u><article><h1>Head</h1>" + 3 * PARAGRAPH + "</article>": ["Head", *3 * [PROSE]],
+    "<html><head><title>x</title><main><h1>Head</h1>" + 3 * PARAGRAPH: ["Head", *3 * [PROSE]],
+    "<article><h1>Head</h1><button>Share" + 3 * PARAGRAPH + "</article>": ["Head", *3 * [PROSE]],
+    "<article><h1>Head</h1><select><option>a<option>b" + 3 * PARAGRAPH + "</article>": ["Head", *3 * [PROSE]],
+    "<article><h1>Head</h1><svg><path d='M0'>" + 3 * PARAGRAPH + "</article>": ["Head", *3 * [PROSE]],
+    f'<article><p>See <a href="/x>link</a> and more of it, here.</p>{PARAGRAPH}</article>': ["See link and more of it, here.", PROSE],
+    f"<article><h1>T</h1><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, as is known.</p>{PARAGRAPH}<xmp>a <b> c</xmp></article>": ["T", "The formula x=2 holds, as is known.", PROSE, "a <b> c"],
+    "<body><nav><a href=/>Home</a> <a href=/x>More</a></nav><h1>Head line</h1>" + 4 * PARAGRAPH + "<footer>&copy; us</footer>": ["Head line", *4 * [PROSE]],
+}
+
+
+def test_query_keeps_whole_pages(spark, tmp_path):
+    rows = [(i, f"u{i}", page) for i, page in enumerate(WHOLE)] + [(100, None, None), (None, "u", ""), (1, "u1", list(WHOLE)[1])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries_text.op1_html_text(spark, str(tmp_path)).collect()
+    want = [(i, u, "\n".join(WHOLE.get(page, [])), len("\n".join(WHOLE.get(page, [])))) for i, u, page in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("part", ["<span>|<li>", "</x>|<b>|</i>", '<a href="', "<p class='x", "<!", "<div><p>", "<table><tr><td>", "<dl><dt><span>", "<select><option>", "<script>", "<a x |=>", "<!--"])
+def test_time_is_linear_in_a_page(part):
+    def seconds(size):
+        page = "".join(x * (size // len(part)) for x in part.split("|"))
+        began = time.process_time()
+        html.main_texts([page], html.default_model())
+        return time.process_time() - began
+
+    html.default_model()
+    small, large = seconds(100_000), seconds(800_000)
+    assert large < 20 * max(small, 0.05)
+
+
+def test_deep_trees_have_the_same_marginals(monkeypatch):
+    pages = [re.sub(' data-label="."', "", p) for p in html.labelled_pages(30, seed=5)]
+    want = html.main_texts(pages, html.default_model())
+    monkeypatch.setattr(html, "LEVELS", 0)
+    assert html.main_texts(pages, html.default_model()) == want and any(want)
