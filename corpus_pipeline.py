@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweft.llm import bpe, langid, mixing, ngram_join, toxicity
-from arcweft.llm.common import cut, small_batches, table
+from arcweft.llm.common import free_name, remove, shared_folder, small_batches, table
 
 #: Scores from which on a document counts as toxic.
 TOXIC = 0.5
@@ -22,14 +22,14 @@ TOXIC = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    model = langid.train(docs.select("doc_id", "text", "lang"))
-    return langid.identify(docs, model).filter("not language.rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model, found = langid.train(docs.select("doc_id", "text", "lang")), free_name(docs, "language")
+    return langid.identify(docs, model, name=found).filter(~F.col(found)["rejected"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, spans=False).filter(F.col("toxicity.score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model, found = toxicity.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "toxicity")
+    return toxicity.score(docs, model, name=found, spans=False).filter(F.col(found)["score"] < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`. What each one writes goes to the shared checkpoint folder."""
-    cut(spark.range(1))  # makes sure that there is one
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`. What each one writes goes to the shared checkpoint folder, and goes away when the next one has read it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{k}-{name}"
     return docs
