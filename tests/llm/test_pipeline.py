@@ -75,6 +75,15 @@ def test_run_returns_what_the_stages_return(spark, corpus):
     assert first and first == sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()))
 
 
+def test_columns_named_as_what_stages_add(spark, corpus):
+    folder, *_ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id AS Language", "source AS toxicity", "text AS _language")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        assert all(r.Language == r.doc_id and r.toxicity == r.source and r._language == r.text for r in out.collect())
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
