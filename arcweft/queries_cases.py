@@ -10,6 +10,7 @@ import contextlib
 import io
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,9 +24,11 @@ from arcweft.operators import graph, parse, problems, resolve
 from arcweft.operators.enforce import Ruleset, enforce, matches
 from arcweft.plans import derived, patterns, report
 from arcweft.plans.derived import table
+from arcweft.plans.lineage import shared_folder
 from arcweft.plans.rulebooks import RulebookError, read_rulebooks
 from arcweft.sources import ignore
 from arcweft.sources.aliases import parse_config
+from arcweft.sources.store import write_text
 
 
 def quoted(text: str | bool | None) -> str:
@@ -357,17 +360,20 @@ UNION ALL SELECT concat('#n/', n_name, '-x'), {_REGION_ID} FROM nation JOIN regi
 RULE = "id: atlas\nname: Atlas\nrules:\n  - {id: no-asia, target: '@/nation/*', description: far, fix: stay, forbids: [{import: '@/region/asia/**'}]}\n"
 
 
-@contextlib.contextmanager
-def _folder(spark: SparkSession, sf_dir: str) -> Iterator[str]:
-    """A project that the driver writes for a run and takes away after it: nations import their regions by relative paths."""
+def _texts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Files of a project: nations import their regions by relative paths."""
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", derived.slug("r_name").alias("r")).collect()  # some nations
     texts = {f"src/nation/{x.n_name}.ts": f"import {{ R }} from '../region/{x.r}';\n" for x in rows} | {f"src/region/{x.r}/index.ts": "export const R = 1;\n" for x in rows}
-    texts |= {"tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}} // end', "arcweft/rules/atlas.yaml": RULE, ".gitignore": "gen/\n", "gen/g.ts": "import '../src/nation/x';", "dist/d.ts": "import '../src/nation/x';", "src/readme.md": "import 'x'"}
+    texts |= {"tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}} // end', "arcweft/rules/atlas.yaml": RULE, ".gitignore": "gen/\n", "gen/g.ts": "import '../src/nation/x';"}
+    return texts | {"dist/d.ts": "import '../src/nation/x';", "src/readme.md": "import 'x'"}
+
+
+@contextlib.contextmanager
+def _folder(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """The project in a folder of the driver, which alone reads and writes it, and takes it away after a run."""
     with tempfile.TemporaryDirectory() as folder:
-        for path, text in texts.items():
-            os.makedirs(os.path.dirname(os.path.join(folder, path)), exist_ok=True)
-            with open(os.path.join(folder, path), "w", encoding="utf-8") as f:
-                f.write(text)
+        for path, text in _texts(spark, sf_dir).items():
+            write_text(spark, os.path.join(folder, path), text)
         yield folder
 
 
@@ -379,9 +385,11 @@ def project_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by an address in a store, of which executors read the files."""
-    with _folder(spark, sf_dir) as folder:
-        rows = [(i, r.problem_id, r.text.split("\n")[-1]) for i, r in enumerate(api.check(spark, f"file://{folder}")[0].collect())]
+    """The same by an address in the store that the cluster shares, of which executors read the files."""
+    folder = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    for path, text in _texts(spark, sf_dir).items():
+        write_text(spark, f"{folder}/{path}", text)
+    rows = [(i, r.problem_id, r.text.split("\n")[-1]) for i, r in enumerate(api.check(spark, folder)[0].collect())]
     return spark.createDataFrame(rows, "place int, problem_id string, fix string")
 
 
