@@ -62,6 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what finished steps have left: Spark removes shuffle files and broadcasts, and the driver's JVM unloads
+    code and returns memory, only once their handles have been collected, which a driver with memory to spare puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of tables between steps, in whatever store it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

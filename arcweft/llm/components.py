@@ -13,25 +13,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large-star step ties a node's larger neighbours to the smallest of its neighbourhood, a small-star step ties its
     smaller ones; both only need the minimum by node and a join on it, never a node's neighbours in one place. Steps end
-    when they change nothing. Each is checkpointed. Loops, repeated and null edges are harmless; no edges, no rows.
+    when all that is left are stars around their smallest nodes. Each is checkpointed. Loops, repeated and null edges are harmless; no edges, no rows.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(e)
-    while mark[0]:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = cut(small.filter("u <> v").distinct())
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _mark(e: DataFrame) -> tuple[int, int]:
-    row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, int(row.h or 0)
+def _are_stars(e: DataFrame) -> bool:
+    """Whether no node is both the larger end of one edge and any end of another."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()

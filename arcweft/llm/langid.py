@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import cut, give_back, held
+from arcweft.llm.common import cut, give_back, held, tidy
 
 #: n-gram order, longest stretch of letters taken as one word, characters from which on length adds no certainty.
 ORDER, LONGEST, STEADY = 5, 40, 60
@@ -269,6 +269,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     model, letters = (pickle.loads(made.model), made.letters) if made else (smooth({}), 1)
     kept_out = identify(drawn.filter("calibrate"), model, name="_found").select("lang", "_found.*").filter("n_letters > 0").collect()
     calibrate(model, [(r.lang, r.entropy, r.n_letters) for r in kept_out if r.lang == r.lang_pred], drawn, letters)
+    tidy(labelled.sparkSession)
     return model
 
 

@@ -10,9 +10,14 @@ is signed there too. Each partition is its own subset (PartEnum with a second le
 may lie there. Ranking by number of elements leaves empty and single-element partitions unsigned, which many
 unrelated documents would share.
 
+Signing one partition at a time is the member of PartEnum's family that takes the fewest signatures, d + 1: with subsets of
+more than one partition (n1 parts of n2 partitions, subsets of n2 - k2 of them, n1 (k2 + 1) > d) a set has n1 C(n2, k2).
+
 From signatures to links, exactly and without all pairs of a bucket:
 
-1. Equal sets are one node. Signatures are sorted by value; in each bucket every node is paired with the first.
+1. Equal sets are one node. Signatures are sorted by value; each bucket becomes a tree, in which a node is paired with the head of
+   its block of `FAN` nodes, a head with the head of the block of blocks, and all with the first node. A signature that
+   a sample shows to have a large share of all rows is dealt out by node first; its parts are then joined by their heads.
 2. A pair is dropped if a bound forbids it: sizes, and the distance of two small histograms of the shingles' hashes (each
    differing shingle changes one cell by one, so that the distance never exceeds the sets' difference).
 3. What remains is verified on the shingles themselves, and links are joined into components.
@@ -21,8 +26,10 @@ From signatures to links, exactly and without all pairs of a bucket:
 
 Every pair of similar sets shares a bucket, so it is either verified or lies in one component already.
 
-Shingles and nodes are 64-bit hashes (odds of an accidental equality: 2^-64 a pair). Only words matter: documents with fewer words than a
-shingle has are one shingle; documents without words and null texts are empty sets that link with nothing. Rows that
+Shingles are 64-bit hashes, sets 128-bit hashes of these; nodes go by half of that, or by another hash where halves clash. A node stands
+in links for the smallest doc_id that has it, so that the smallest node of a component is the class's id. Classes go back to rows by node;
+nodes with more than a share of all rows meet theirs by a broadcast of at most `HOT` rows. Only words matter: documents with
+fewer words than a shingle has are one shingle; documents without words and null texts are empty sets that link with nothing. Rows that
 share an id are one document (their classes are joined); rows without an id take no part and get null classes. Empty tables give no rows;
 only doc_id and text are read, and `deduplicated` keeps all columns whatever their names. Texts are read whole.
 """
@@ -39,13 +46,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import WORD, cut, give_back, held
+from arcweft.llm.common import WORD, cut, give_back, held, remove, shared_folder, tidy
 from arcweft.llm.components import components
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Nodes of a bucket that are compared at once; cells of a node's histogram; words and nodes that a worker remembers.
-CELL, CELLS, KEPT, SEEN = 2048, (16, 512), 150_000, 100_000
+CELL, CELLS, KEPT, SEEN = 1024, (16, 512), 150_000, 100_000
+#: Nodes that share a head in a bucket's tree, and its levels.
+FAN, LEVELS = 64, 10
+#: A key with more than one HOT-th of all rows (and over LEAST) is hot. One in PROBE sets shows its signatures to find hot ones.
+HOT, LEAST, PROBE = 1000, 1000, 1024
 #: Nodes (16 bytes each) that are sent to every task to find their texts, at most.
 BROADCAST = 500_000
 #: Pairs that a task gathers by their first node before it passes them on.
@@ -129,63 +140,106 @@ def _folded(h: bytes, cells: int) -> np.ndarray:
     return np.frombuffer(h, np.uint8).reshape(-1, cells).sum(0, dtype=np.uint8)
 
 
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of the hash of a set, as signed numbers."""
+    h = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
 def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, signatures, histogram): the last two only where a task meets a node for the first time."""
+    """(doc_id, n, node, other, signatures, probe, histogram): the last three only where a task meets a set for the first time.
+
+    `node` and `other` are the halves of the set's hash; `probe` repeats the signatures of one in PROBE sets.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, len(batch), 250):
                 part = batch.iloc[at : at + 250]
-                n, node, signed, hists = [], [], [], []
+                n, node, other, signed, probe, hists = [], [], [], [], [], []
                 for text in part["text"]:
                     s = shingles(text, size)
-                    key = np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+                    key = _identity(s)
                     n.append(len(s))
-                    node.append(key)
+                    node.append(key[0])
+                    other.append(key[1])
                     new = len(s) > 0 and key not in seen
                     if new:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
                     signed.append(signatures(s, percent).view(np.int64) if new else None)
+                    probe.append(signed[-1] if new and key[1] % PROBE == 0 else None)
                     hists.append(histogram(s) if new else None)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, "node": node, "signatures": signed, "histogram": hists})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, "node": node, "other": other, "signatures": signed, "probe": probe, "histogram": hists})
         give_back()
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(rows, "doc_id long, n long, node long, signatures array<long>, histogram binary")
+    schema = "doc_id long, n long, node long, other long, signatures array<long>, probe array<long>, histogram binary"
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(rows, schema)
+
+
+def _heads(index: np.ndarray) -> np.ndarray:
+    """The index in its bucket of each node's parent: the head of its block, of its block of blocks, and so on."""
+    out = np.zeros_like(index)
+    rest, width = np.ones(len(index), bool), 1
+    for _ in range(LEVELS):
+        width *= FAN
+        out[rest] = index[rest] // width * width
+        rest &= index % width == 0
+        if not rest.any():
+            break
+    return np.where(rest, 0, out)
 
 
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (sig, node) rows in order: (sig, node, hub) of buckets with more than one node; hub is the first node."""
-    sig0 = hub0 = last0 = None  # of the bucket that the last batch ended in; whether its hub has gone out
-    out0 = False
+    """From (sig, salt, node) or (sig, node) rows in order: (sig, salt, node, parent, top) of buckets with more than one node, or salted; the first is its own parent and all others' top.
+
+    Salts over 0 mark parts of one bucket.
+    """
+    key0 = last0 = None  # of the bucket that the last batch ended in: (sig, salt) and its last node
+    at0, heads = 0, {}  # nodes of it so far, those of them that may yet be parents by index
+    widths = [FAN**k for k in range(1, LEVELS + 1)]
     for batch in batches:
         if not len(batch):
             continue
         sig, node = batch["sig"].to_numpy(), batch["node"].to_numpy()
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        if sig0 is not None:
-            fresh[0] = sig[0] != sig0 or node[0] != last0
-        sig, node = sig[fresh], node[fresh]
-        if not len(sig):
-            continue
+        salt = batch["salt"].to_numpy() if "salt" in batch else None
         start = np.ones(len(sig), bool)
         start[1:] = sig[1:] != sig[:-1]
-        goes_on = sig0 is not None and sig[0] == sig0
+        if salt is not None:
+            start[1:] |= salt[1:] != salt[:-1]
+        goes_on = key0 == (sig[0], 0 if salt is None else salt[0])
+        start[0] = not goes_on
+        fresh = start.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        fresh[0] |= node[0] != last0
+        if not fresh.all():
+            sig, node, start, salt = sig[fresh], node[fresh], start[fresh], None if salt is None else salt[fresh]
+        if not len(sig):
+            continue
+        if not goes_on:
+            at0, heads = 0, {}
+        begins = np.flatnonzero(start)  # where index 0 of each bucket lies
         if goes_on:
-            start[0] = False
-        which = np.cumsum(start) - (0 if goes_on else 1)
-        hubs = np.concatenate([[hub0], node[start]]) if goes_on else node[start]
-        hub = hubs[which]
-        member = ~start
-        second = member & np.concatenate([[False], start[:-1]])
+            begins = np.concatenate([[-at0], begins])
+        place = np.flatnonzero(~start if salt is None else ~start | (salt > 0))  # most buckets have one node and are passed over
+        index = place - begins[np.searchsorted(begins, place, "right") - 1]
+        first, up = place - index, place - index + _heads(index)
+        top, parent = node[np.maximum(first, 0)], node[np.maximum(up, 0)]
         if goes_on:
-            second[0] = not out0
-        yield pd.DataFrame({"sig": np.concatenate([sig[member], sig[second]]), "node": np.concatenate([node[member], hub[second]]), "hub": np.concatenate([hub[member], hub[second]])})
-        alone = bool(start[-1])
-        sig0, hub0, last0, out0 = sig[-1], hub[-1], node[-1], not alone
+            top[first < 0] = heads[0]
+            for i in np.flatnonzero(up < 0).tolist():
+                parent[i] = heads[int(up[i]) + at0]
+        part = np.zeros(len(place), np.int32) if salt is None else salt[place]
+        second = (index == 1) & (part == 0)
+        again = lambda x, y: np.concatenate([x, y[second]])  # noqa: E731  a bucket's second node brings its first one
+        if len(place):
+            yield pd.DataFrame({"sig": again(sig[place], sig[place]), "salt": again(part, part), "node": again(node[place], top), "parent": again(parent, top), "top": again(top, top)})
+        end = len(sig) - 1 - int(begins[-1])
+        spots = {end // w * w: len(sig) - 1 - end % w for w in widths}
+        heads = {i: node[k] if k >= 0 else heads[i] for i, k in spots.items()}
+        key0, last0, at0 = (sig[-1], 0 if salt is None else salt[-1]), node[-1], end + 1
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -207,22 +261,22 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
-    """(a, partners) across components within each bucket that the bounds allow, but for pairs with the hub.
+    """(a, partners) across components within each bucket that the bounds allow, but for a node with its parent and top.
 
-    A pair that shares many buckets is named once by a task, as long as it remembers it. `members`: sig, node, hub, label, h, n, in order of (sig, i, j, side); a bucket of several cells comes as (i, j)
-    pairs of blocks, where side tells the blocks apart.
+    A pair that shares many buckets is named once by a task, as long as it remembers it. `members`: i, j, sig, side, node, parent, top,
+    label, h, n, in order; a bucket of several cells comes as (i, j) pairs of blocks, where side tells the blocks apart.
     """
 
     def compare(x: pd.DataFrame, found: dict[int, set[int]]) -> None:
         node, label, n = x["node"].to_numpy(), x["label"].to_numpy(), x["n"].to_numpy()
         cells = int(x["h"].map(len).min())
         h = np.stack([_folded(b, cells) for b in x["h"]])
-        rest, side = node != x["hub"].to_numpy(), x["side"].to_numpy()
+        parent, top, side = (x[c].to_numpy() for c in ("parent", "top", "side"))
         twice = bool(side.any())
         for k in range(len(x)):
-            if not rest[k] or twice and side[k]:
+            if twice and side[k]:
                 continue
-            others = np.flatnonzero(rest & (label != label[k]) & ((side == 1) if twice else (np.arange(len(x)) > k)))
+            others = np.flatnonzero((label != label[k]) & (node != parent[k]) & (parent != node[k]) & (node != top[k]) & (top != node[k]) & ((side == 1) if twice else (np.arange(len(x)) > k)))
             if len(others):
                 others = others[may_link(h[others], h[k], n[others], n[k], percent)]
             for b in node[others].tolist():
@@ -256,10 +310,10 @@ def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInPandas(rows, "a long, partners array<long>")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar. Only documents of nodes in pairs are read again and shingled."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, da, db) of those of the pairs (a, b) whose sets are similar, with their nodes' documents. Only these are read again and shingled."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = cut(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    chosen = nodes.select("node", F.col("doc").alias("doc_id"), "half", "other").join(wanted, "node", "left_semi")
     if chosen.count() <= BROADCAST:  # else the texts are dealt out to meet their ids
         chosen = F.broadcast(chosen)
 
@@ -268,66 +322,102 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int,
             for at in range(0, len(batch), 50):
                 part = batch.iloc[at : at + 50]
                 sets = [shingles(t, size) for t in part["text"]]
-                nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pd.DataFrame({"node": nodes, "s": [s.view(np.int64) for s in sets]})[nodes == part["node"].to_numpy()]
+                same = np.array([_identity(s) == x for s, x in zip(sets, zip(part["half"], part["other"], strict=True), strict=True)])
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "doc": part["doc_id"].to_numpy(), "s": [s.view(np.int64) for s in sets]})[same]
         give_back()
 
-    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text").mapInPandas(rows, "node long, s array<long>")
-    sets = cut(sets.dropDuplicates(["node"]))
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
+    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "doc_id", "half", "other", "text").mapInPandas(rows, "node long, doc long, s array<long>")
+    sets = sets.dropDuplicates(["node"])  # one exchange, which both sides of the join below read
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("doc").alias(f"d{x}"), F.col("s").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))  # row by row, so that only one pair of sets is in memory
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b", "da", "db")
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """node, half, other, h, n, doc, rows: one row a set; `half` and `other` are its hash, `doc` its smallest id, `rows` how many have it."""
+    sets = signed.filter("n > 0").groupBy("node", "other").agg(F.first("histogram", ignorenulls=True).alias("h"), F.max("n").alias("n"), F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    return cut(sets.select("node", F.col("node").alias("half"), "other", "h", "n", "doc", "rows"))
+
+
+def _bucketed(signed: DataFrame) -> DataFrame:
+    """(sig, node, parent, top) of all buckets with more than one node; see `_buckets`."""
+    shown = signed.filter("probe is not null").select(F.explode("probe").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("shown"))
+    total = shown.agg(F.sum("shown")).first()[0] or 0
+    # parts enough for a part to be about one 100 * HOT-th of all rows; what sums up to `total` has at most 100 * HOT such signatures
+    hot = shown.filter(F.col("shown") > F.lit(max(total / (100 * HOT), LEAST / 32))).select("sig", F.ceil(F.col("shown") / max(total / (100 * HOT), 1)).cast("int").alias("parts"))
+    rows = signed.select("node", F.explode("signatures").alias("sig")).select("sig", "node")
+    deal = lambda t: t.repartition(*t.columns[:-1]).sortWithinPartitions(*t.columns).mapInPandas(_buckets, "sig long, salt int, node long, parent long, top long")
+    if hot.isEmpty():
+        return cut(deal(rows).drop("salt"))
+    salt = F.coalesce(F.pmod("node", F.col("parts")).cast("int") + 1, F.lit(0))
+    found = cut(deal(rows.join(F.broadcast(hot), "sig", "left").select("sig", salt.alias("salt"), "node")))
+    heads = found.filter("salt > 0 and node = parent").select("sig", "node")
+    return cut(found.filter("salt = 0 or node <> parent").unionByName(deal(heads)).drop("salt"))
 
 
 def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of (doc_id, text); see above.
 
     What is written on the way (signatures of all nodes, members of shared buckets, shingles of nodes in candidate
-    pairs) goes to the shared checkpoint folder.
+    pairs) goes to the shared checkpoint folder; the signatures are removed when the classes are known.
     """
     if not 50 <= percent <= 100:
         raise ValueError("similarities under 50 % would reach beyond the next band")
     spark = docs.sparkSession
-    cut(spark.range(1))  # makes sure that there is a checkpoint folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/signed-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/signed-{uuid.uuid4().hex}"
     _signed(docs, size, percent).write.parquet(path)
     signed = spark.read.parquet(path)
+    tidy(spark)
+    nodes = _nodes(signed)
+    clash = nodes.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("clash"))
+    total, sets = nodes.agg(F.sum("rows"), F.count(F.lit(1))).first()
+    if sets > 1 and not clash.isEmpty():  # some sets in 2^64 pairs of them
+        named = F.when(F.col("clash"), F.xxhash64("half", "other")).otherwise(F.col("half")).alias("node")
+        nodes = cut(nodes.join(clash, "node", "left").select(named, *nodes.columns[1:]))
+        signed = signed.withColumn("half", F.col("node")).join(clash, "node", "left").withColumn("node", named).drop("half", "clash")
     members = signed.select("doc_id", "n", "node")
-    nodes = signed.filter("histogram is not null").groupBy("node").agg(F.first("histogram").alias("h"), F.max("n").alias("n"))
 
-    rows = signed.select("node", F.explode("signatures").alias("sig")).select("sig", "node")
-    buckets = cut(rows.repartition("sig").sortWithinPartitions("sig", "node").mapInPandas(_buckets, "sig long, node long, hub long"))
+    buckets = _bucketed(signed)
+    tidy(spark)
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
-    stars = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(_bounded(stars.join(side("a"), "a").join(side("b"), "b"), percent))
-    links = cut(_verified(stars, members, docs, size, percent))
-    least = members.filter("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
-    same_id = members.filter("n > 0").join(least.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
-    labels = cut(components(links.unionByName(same_id)))
-
-    labelled = buckets.join(labels, "node", "left").select("sig", "node", "hub", F.coalesce("root", "node").alias("label"))
+    ends = F.explode(F.array_distinct(F.array("parent", "top"))).alias("a")
+    tied = buckets.filter("node <> parent").select(ends, F.col("node").alias("b")).distinct()
+    tied = cut(_bounded(tied.join(side("a"), "a").join(side("b"), "b"), percent))
+    links = _verified(tied, nodes, docs, size, percent).select(F.col("da").alias("a"), F.col("db").alias("b"))
+    # ids with several sets tie the sets' documents
+    several = members.filter("n > 0").groupBy("doc_id").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low <> _high").select("doc_id")
+    same_id = members.join(several, "doc_id", "left_semi").distinct().join(nodes.select("node", "doc"), "node").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    labels = components(links.unionByName(same_id))
+    tidy(spark)
+
+    label = nodes.select("node", "doc").join(labels.withColumnRenamed("node", "doc"), "doc").select("node", F.col("root").alias("label"))
+    labelled = buckets.join(label, "node", "left").join(nodes.select("node", "doc"), "node").select("sig", "node", "parent", "top", F.coalesce("label", "doc").alias("label"))
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low <> _high and _n > 2")
-    rest = labelled.join(mixed.select("sig", F.ceil(F.col("_n") / CELL).cast("int").alias("_blocks")), "sig").join(nodes, "node")
+    rest = labelled.join(mixed.select("sig", F.col("_low").alias("low"), F.ceil(F.col("_n") / CELL).cast("int").alias("_blocks")), "sig").join(nodes.select("node", "h", "n"), "node")
     block = F.pmod(F.col("node"), F.col("_blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j")))
-    rest = rest.withColumn("_cell", F.explode(cells)).select("sig", F.col("_cell.i").alias("i"), F.col("_cell.j").alias("j"), ((F.col("_cell.i") != F.col("_cell.j")) & (block == F.col("_cell.j"))).cast("int").alias("side"), "node", "hub", "label", "h", "n")
-    rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
-    near = _within_buckets(rest, percent).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
-    more = cut(near.select("a", F.explode("partners").alias("b")))
-    links = cut(_verified(more, members, docs, size, percent))
-    root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = cut(components(between))
-    label = labels.withColumnRenamed("root", "_root").join(joined.select(F.col("node").alias("_root"), "root"), "_root", "left").select("node", F.coalesce("root", "_root").alias("root"))
-    label = label.unionByName(joined.join(labels, "node", "left_anti"))
-
-    own = members.filter("n > 0").join(label, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    first = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = own.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = rest.withColumn("_cell", F.explode(cells)).select("low", "_blocks", F.col("_cell.i").alias("i"), F.col("_cell.j").alias("j"), "sig", ((F.col("_cell.i") != F.col("_cell.j")) & (block == F.col("_cell.j"))).cast("int").alias("side"), "node", "parent", "top", "label", "h", "n")
+    cell = ["low", "_blocks", "i", "j"]  # cells of buckets that hold the same class meet, as they mostly hold the same pairs
+    rest = rest.repartition(*cell).sortWithinPartitions(*cell, "sig", "side")
+    more = cut(_within_buckets(rest, percent).select("a", F.explode("partners").alias("b")).distinct())
+    root = lambda x: labels.select(F.col("node").alias(f"d{x}"), F.col("root").alias(f"r{x}"))
+    between = _verified(more, nodes, docs, size, percent).join(root("a"), "da", "left").join(root("b"), "db", "left").select(F.coalesce("ra", "da").alias("a"), F.coalesce("rb", "db").alias("b"))
+    joined = components(between)
+    tidy(spark)
+
+    of_doc = labels.withColumnRenamed("root", "_root").join(joined.select(F.col("node").alias("_root"), "root"), "_root", "left").select(F.col("node").alias("doc"), F.coalesce("root", "_root").alias("component_id"))
+    of_doc = of_doc.unionByName(joined.join(labels, "node", "left_anti").select(F.col("node").alias("doc"), F.col("root").alias("component_id")))
+    of_node = nodes.select("node", "doc", "rows").join(of_doc, "doc", "left").select("node", "rows", F.coalesce("component_id", "doc").alias("component_id"))
+    hot = F.col("rows") > F.lit(max((total or 0) / HOT, LEAST))  # at most HOT nodes
+    own, few, lookup = members.filter("n > 0"), F.broadcast(of_node.filter(hot).drop("rows")), of_node.filter(~hot).drop("rows")
+    out = own.join(few, "node").unionByName(own.join(few.select("node"), "node", "left_anti").join(lookup, "node")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     texts = F.when(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0, 0)
     without = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), texts.cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(empty).unionByName(without)
+    found = cut(out.unionByName(empty).unionByName(without))
+    remove(spark, path)
+    tidy(spark)
+    return found
 
 
 def deduplicated(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

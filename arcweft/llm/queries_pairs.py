@@ -27,5 +27,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(texts(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM i),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN c a ON p.x = a.doc_id JOIN c b ON p.y = b.doc_id WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.y AS component_id FROM documents d LEFT JOIN c USING (doc_id) JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON d.doc_id = m.x"""
+
+
 QUERIES = {"op4_top_k": op4_top_k, "op8_ngram_join": op8_ngram_join}
-SQL = {"op4_top_k": OP4_SQL}
+SQL = {"op4_top_k": OP4_SQL, "op8_ngram_join": OP8_SQL}

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import give_back, held
+from arcweft.llm.common import give_back, held, tidy
 
 #: Documented bounds of the sample: toxic ids, and half the number of clean ones; code points of the texts of each label.
 PER_LABEL, CHARS = 1500, 16_000_000
@@ -354,6 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, chars:
         yield pd.DataFrame({"model": [model]})
 
     made = rows.repartition(1).sortWithinPartitions("_h", "doc_id").select("text", "toxic").mapInPandas(fitted, "model binary").first()
+    tidy(docs.sparkSession)
     return pickle.loads(made.model) if made else Model(fallback=0.0)
 
 

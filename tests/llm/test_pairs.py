@@ -126,16 +126,44 @@ def test_similar_sets_share_a_signature():
 
 
 @pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
-def test_buckets_over_batches_of_any_size(step):
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_buckets_over_batches_of_any_size(monkeypatch, step, fan):
+    monkeypatch.setattr(ngram_join, "FAN", fan)
     r = random.Random(step)
-    rows = sorted((r.randrange(12), r.randrange(4)) for _ in range(60))
-    frame = pd.DataFrame(rows, columns=["sig", "node"])
+    rows = sorted((r.randrange(6), r.choice([0, 0, 1, 2]), r.randrange(30)) for _ in range(160)) + [(7, 1, 5), (8, 0, 5), (9, 0, 1), (9, 0, 2)]
+    frame = pd.DataFrame(rows, columns=["sig", "salt", "node"])
     got = sorted(map(tuple, pd.concat([*ngram_join._buckets(frame.iloc[i : i + step] for i in range(0, len(frame), step))]).to_numpy().tolist()))
     want = []
-    for sig in {s for s, _ in rows}:
-        nodes = sorted({n for s, n in rows if s == sig})
-        want += [(sig, n, nodes[0]) for n in nodes] if len(nodes) > 1 else []
+    for sig, salt in {(s, k) for s, k, _ in rows}:
+        nodes = sorted({n for s, k, n in rows if (s, k) == (sig, salt)})
+        if len(nodes) > 1 or salt:
+            for i, n in enumerate(nodes):
+                width = fan
+                while i and i % width == 0:
+                    width *= fan
+                want.append((sig, salt, n, nodes[i // width * width if i else 0], nodes[0]))
     assert got == sorted(want)
+    plain = frame[frame["salt"] == 0].drop(columns="salt")
+    got = pd.concat([*ngram_join._buckets(plain.iloc[i : i + step] for i in range(0, len(plain), step))]).to_numpy().tolist()
+    assert sorted(map(tuple, got)) == sorted(x for x in want if x[1] == 0)
+
+
+def test_hot_signatures_and_clashing_halves(spark, monkeypatch):
+    """All sets show their signatures and every signature is hot; halves of hashes are so short that many clash."""
+    monkeypatch.setattr(ngram_join, "PROBE", 1)
+    monkeypatch.setattr(ngram_join, "LEAST", 32)
+    monkeypatch.setattr(ngram_join, "FAN", 3)
+    true = ngram_join._identity
+    monkeypatch.setattr(ngram_join, "_identity", lambda s: (true(s)[0] % 37, true(s)[1]))
+    rows = corpus(6)
+    assert {x.doc_id: x.component_id for x in joined(spark, rows).collect()} == brute(rows)[1]
+
+
+def test_one_text_has_a_large_share_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST", 3)
+    rows = corpus(7)
+    rows += [(1000 + i, rows[3][1]) for i in range(120)]
+    assert {x.doc_id: x.component_id for x in joined(spark, rows).collect()} == brute(rows)[1]
 
 
 # --- kNN ---
@@ -174,6 +202,9 @@ def test_top_k_of_large_numbers_and_of_little(spark):
     rows = [(1, [3 * 10**8, 1]), (2, [10**8, 7]), (3, [-(10**8), 5]), (5, [3 * 10**8, 2])]
     df = spark.createDataFrame(rows, schema)
     assert sorted(map(tuple, knn.top_k(df, df, 20).collect())) == best(rows, rows, 20)
+    huge = [(1, [2**40, 3]), (2, [2**40, 5]), (3, [2**40 - 1, 9]), (4, [1, 1])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in knn.top_k(spark.createDataFrame(huge, schema), spark.createDataFrame(huge, schema), 20).collect())
+    assert got == [x[:3] for x in best(huge, huge, 20)]
     assert knn.top_k(df.limit(0), df, 3).count() == 0 and knn.top_k(df, df.limit(0), 3).count() == 0
     one = df.filter("vec_id = 1")
     assert knn.top_k(one, one, 3).count() == 0
