@@ -15,7 +15,10 @@ Scores are integers: products are summed in float64 where that is exact and in i
 longest count as padded with zeros. Rows without id or vector play no part, nor do vectors with null components. Ties go to
 the smaller id; rows with a query's id are its own and no candidates of it; data rows that repeat each count, queries that
 repeat id and vector count once. Fewer than k candidates give fewer rows, empty tables none; other columns are not
-read. Sums beyond 64 bits wrap.
+read. Products beyond 64 bits are ranked exactly (up to 125 bits) and shown cut to the range of 64.
+
+How much a bound can save is up to the data: where vectors lie far from every pivot compared with how far scores are apart, as random
+directions in many dimensions do, every upper bound reaches every query's k-th score, and all blocks of queries meet all blocks of data.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from pyspark.sql.window import Window
 
 from arcweft.llm.common import cut
 
-#: Pivots of data; queries of a group on average, up to as many groups; most queries and vectors of a local problem.
-PIVOTS, PER_GROUP, QUERIES, VECTORS = 48, 512, 1024, 16384
+#: Pivots of data, at least and at most (in between half the root of the number of vectors); queries of a group on average, up to as
+#: many groups as pivots; most queries and vectors of a local problem.
+PIVOTS, PER_GROUP, QUERIES, VECTORS = (48, 512), 2048, 4096, 16384
 
 
 @dataclass
@@ -161,38 +165,44 @@ def _sent(rows: DataFrame, plan: Plan, queries: bool) -> DataFrame:
 
 def _solve(k: int):  # noqa: ANN202
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query": "int64", "vec_id": "int64", "score": "int64"})
+        nothing = pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "high": [], "low": [], "score": []}).astype("int64")
         if not len(queries) or not len(data):
             return nothing
         q, x = (np.frombuffer(b"".join(t["v"]), np.int64).reshape(len(t), -1) for t in (queries, data))
         ids = data["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1) < 2**53
-        xs = x.astype(np.float64) if exact else x
+        most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(q.shape[1], 1)
+        exact, beyond = most < 2**53, most >= 2**62
+        xs = x.astype(np.float64) if exact else x.astype(object) if beyond else x
         found = []
         for at in range(0, len(q), 64):
             block = q[at : at + 64]
-            scores = (block.astype(np.float64) @ xs.T).astype(np.int64) if exact else block @ xs.T
+            scores = (block.astype(np.float64) @ xs.T).astype(np.int64) if exact else (block.astype(object) if beyond else block) @ xs.T
             for row, (own, mark, s) in enumerate(zip(queries["id"].to_numpy()[at : at + 64], queries["mark"].to_numpy()[at : at + 64], scores, strict=True)):
                 others = ids != own
                 c = s[others]
                 if not len(c):
                     continue
                 ci = ids[others]
-                i = np.flatnonzero(c >= np.partition(c, len(c) - k)[len(c) - k]) if len(c) > k else np.arange(len(c))
-                i = i[np.argsort(-c[i], kind="stable")[:k]]  # ids ascend, so ties keep the smaller
-                found.append(pd.DataFrame({"query_id": own, "query": mark, "vec_id": ci[i], "score": c[i]}))
+                if beyond:
+                    i = np.array(sorted(range(len(c)), key=lambda j: -c[j])[:k])  # noqa: B023
+                else:
+                    i = np.flatnonzero(c >= np.partition(c, len(c) - k)[len(c) - k]) if len(c) > k else np.arange(len(c))
+                    i = i[np.argsort(-c[i], kind="stable")[:k]]  # ids ascend, so ties keep the smaller
+                cut_to = lambda x: np.clip(x, -(2**63), 2**63 - 1).astype(np.int64)
+                found.append(pd.DataFrame({"query_id": own, "query": mark, "vec_id": ci[i], "high": cut_to(c[i] >> 62), "low": (c[i] & (2**62 - 1)).astype(np.int64), "score": cut_to(c[i])}))
         return pd.concat(found) if found else nothing
 
     return solve
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of `queries` its k best of `data`; both (vec_id, v array<long>)."""
     usable = lambda t: t.select(F.col("vec_id").alias("id"), "v").filter("vec_id is not null and v is not null and not exists(v, x -> x is null)")
     data, queries = usable(data), usable(queries).distinct()
-    shape = data.select(F.size("v").alias("n")).unionByName(queries.select(F.size("v").alias("n"))).agg(F.max("n").alias("dims")).first()
+    shape = data.select(F.size("v").alias("n")).unionByName(queries.select(F.size("v").alias("n"))).agg(F.max("n").alias("dims"), F.count(F.lit(1)).alias("rows")).first()
+    pivots = pivots or min(max(math.isqrt(shape.rows) // 2, PIVOTS[0]), PIVOTS[1])
     asked = queries.count()
     schema = "query_id long, rank int, vec_id long, score long"
     centres = _pivots(data, pivots, shape.dims or 0) if asked else np.empty((0, 0))
@@ -204,6 +214,6 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS
     plan = _plan(data, queries, centres, groups, k)
     key = ["g", "qb", "db"]
     asked_blocks = _sent(queries, plan, True).withColumn("mark", F.xxhash64("v"))
-    local = asked_blocks.groupBy(*key).cogroup(_sent(data, plan, False).groupBy(*key)).applyInPandas(_solve(k), "query_id long, query long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id"))
+    local = asked_blocks.groupBy(*key).cogroup(_sent(data, plan, False).groupBy(*key)).applyInPandas(_solve(k), "query_id long, query long, vec_id long, high long, low long, score long")
+    best = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id"))
     return local.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
