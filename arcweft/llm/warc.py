@@ -61,12 +61,11 @@ def placed(made: DataFrame, where: DataFrame | None = None) -> DataFrame:
 
     `where` is a manifest (page_id, digest, file, ordinal) that is known already; digests are those it was made from.
     """
-    same = ["page_id", "digest"]
-    nth = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))  # noqa: E731  of records equal byte by byte
-    where = manifest(made.select("page_id", "length", "digest")) if where is None else where.select(*same, "file", "ordinal")
-    where = where.withColumn("_nth", nth(F.col("file") * PER_FILE + F.col("ordinal")))
-    made = made.select("page_id", "digest", "record").withColumn("_nth", nth(F.lit(0)))
-    return made.join(where, [made[c].eqNullSafe(where[c]) for c in [*same, "_nth"]]).select("file", "ordinal", "record")
+    where = manifest(made.select("page_id", "length", "digest")) if where is None else where
+    same = [F.coalesce("page_id", F.lit(-(2**63)).cast("long")).alias("_id"), F.col("page_id").isNull().alias("_none"), F.col("digest")]
+    key = ["_id", "_none", "digest"]
+    once = made.select(*same, "record").dropDuplicates(key)  # of records equal byte by byte each place takes the same one
+    return where.select(*same, "file", "ordinal").join(once, key).select("file", "ordinal", "record")
 
 
 def tree(manifest: DataFrame, top: int | None = None) -> DataFrame:
