@@ -9,6 +9,7 @@ import re
 import tempfile
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +68,20 @@ def tidy(spark: SparkSession) -> None:
     code and returns memory, only once their handles have been collected, which a driver with memory to spare puts off."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Returns to the system what the driver's JVM has freed outside its heap (mostly its compilers' memory) and the C library
+    keeps, some hundred MB after many queries. Only HotSpot on Linux can, others go on as they are."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    with contextlib.suppress(Py4JError):
+        find, types, values = jvm.java.lang.Class.forName, array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[k] = find(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        find("javax.management.MBeanServerConnection").getMethod("invoke", types).invoke(server, values)  # the server's own class is hidden from py4j
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import cut
+from arcweft.llm.common import cut, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = cut(small.filter("u <> v").distinct())
+        tidy(e.sparkSession)
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

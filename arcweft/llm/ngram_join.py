@@ -407,7 +407,8 @@ def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
 
     of_doc = labels.withColumnRenamed("root", "_root").join(joined.select(F.col("node").alias("_root"), "root"), "_root", "left").select(F.col("node").alias("doc"), F.coalesce("root", "_root").alias("component_id"))
     of_doc = of_doc.unionByName(joined.join(labels, "node", "left_anti").select(F.col("node").alias("doc"), F.col("root").alias("component_id")))
-    of_node = nodes.select("node", "doc", "rows").join(of_doc, "doc", "left").select("node", "rows", F.coalesce("component_id", "doc").alias("component_id"))
+    of_node = cut(nodes.select("node", "doc", "rows").join(of_doc, "doc", "left").select("node", "rows", F.coalesce("component_id", "doc").alias("component_id")))  # read three times below
+    tidy(spark)
     hot = F.col("rows") > F.lit(max((total or 0) / HOT, LEAST))  # at most HOT nodes
     own, few, lookup = members.filter("n > 0"), F.broadcast(of_node.filter(hot).drop("rows")), of_node.filter(~hot).drop("rows")
     out = own.join(few, "node").unionByName(own.join(few.select("node"), "node", "left_anti").join(lookup, "node")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

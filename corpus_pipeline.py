@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweft.llm import bpe, langid, mixing, ngram_join, toxicity
-from arcweft.llm.common import free_name, remove, shared_folder, small_batches, table
+from arcweft.llm.common import free_name, remove, shared_folder, small_batches, table, tidy
 
 #: Scores from which on a document counts as toxic.
 TOXIC = 0.5
@@ -38,7 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    tidy(spark)
+    mixed = mixing.mix(docs)
+    tidy(spark)
+    return mixed
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
+import gc
 import hashlib
 import random
+import re
 import struct
+import time
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -8,6 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from arcweft.llm import ngram_join, queries
+from arcweft.llm.common import tidy
 
 WORDS = {"aa": "ka to mi re sun bel".split(), "bb": "schi grü ver ung lich zen".split()}
 
@@ -93,3 +98,26 @@ def test_empty_corpus(spark, tmp_path):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_tidy_returns_memory_outside_the_heap(spark):
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    mb = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(64 << 10) for _ in range(3000)]
+    buffers = buffers[::20]  # what stays lies between what goes, so that nothing goes by itself
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    freed = mb()
+    tidy(spark)
+    assert mb() < freed - 80 and buffers
+
+
+def test_classes_take_no_large_plan(spark, corpus, monkeypatch):
+    folder, *_ = corpus
+    joins, cut = [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: joins.append(len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString()))) or cut(df))
+    ngram_join.classes(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert len(joins) > 3 and max(joins) <= 9
