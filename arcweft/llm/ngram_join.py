@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,40 +60,46 @@ FAN, LEVELS = 64, 10
 HOT, LEAST, PROBE = 1000, 1000, 1024
 #: Nodes (16 bytes each) that are sent to every task to find their texts, at most.
 BROADCAST = 500_000
-#: Pairs that a task gathers by their first node before it passes them on.
-REMEMBERED = 200_000
+#: Pairs that a task gathers by their first node before it passes them on, and pairs that it compares at once.
+REMEMBERED, PAIRS = 200_000, 1 << 17
+#: Rows that a task gathers before it looks at them: of numbers, and of numbers with a histogram.
+NUMBERS, HISTOGRAMS = 1 << 16, 1 << 13
+#: What a shingle's words are, in characters; `shingles` finds the same ones in bytes of UTF-8.
 FIND = re.compile(WORD).findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class _Words(dict):
-    """Hashes of words, kept up to a bound."""
+    """Hashes of words, eight bytes each, kept up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KEPT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_digest(word)
         return h
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = x ^ np.uint64(salt)
+    x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    words = FIND((text or "").translate(LOWER))
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, these two know ASCII only: A-Z and the six white-space characters
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(held("shingled words", _Words).__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(held("shingled words", _Words).__getitem__, words)), np.uint64)
     n = min(size, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         total = _mix(total + h[k : k + len(total)], k)
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _partitions(band: int, percent: int) -> int:
@@ -112,7 +119,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         many = _partitions(b, percent)
         part = (place % np.uint64(many)).astype(np.int64)
         count = np.bincount(part, minlength=many)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if many <= 1 << 16 else part, kind="stable")  # short numbers are sorted by radix
         value = np.zeros(many, np.uint64)
         first = np.flatnonzero(np.diff(part[order], prepend=-1))
         value[part[order][first]] = np.add.reduceat(content[order], first)
@@ -179,6 +186,24 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(rows, schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pd.DataFrame]:
+    """Frames of `least` rows or more, but for the last one, whatever the session's bound of a batch, which is one for whole texts."""
+    parts, many = [], 0
+    for batch in batches:
+        parts.append(batch)
+        many += batch.num_rows
+        if many >= least:
+            yield pa.Table.from_batches(parts).to_pandas()
+            parts, many = [], 0
+    if many:
+        yield pa.Table.from_batches(parts).to_pandas()
+
+
+def _sent(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    for frame in frames:
+        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+
 def _heads(index: np.ndarray) -> np.ndarray:
     """The index in its bucket of each node's parent: the head of its block, of its block of blocks, and so on."""
     out = np.zeros_like(index)
@@ -267,47 +292,71 @@ def _within_buckets(members: DataFrame, percent: int) -> DataFrame:
     label, h, n, in order; a bucket of several cells comes as (i, j) pairs of blocks, where side tells the blocks apart.
     """
 
-    def compare(x: pd.DataFrame, found: dict[int, set[int]]) -> None:
-        node, label, n = x["node"].to_numpy(), x["label"].to_numpy(), x["n"].to_numpy()
-        cells = int(x["h"].map(len).min())
-        h = np.stack([_folded(b, cells) for b in x["h"]])
-        parent, top, side = (x[c].to_numpy() for c in ("parent", "top", "side"))
-        twice = bool(side.any())
-        for k in range(len(x)):
-            if twice and side[k]:
-                continue
-            others = np.flatnonzero((label != label[k]) & (node != parent[k]) & (parent != node[k]) & (node != top[k]) & (top != node[k]) & ((side == 1) if twice else (np.arange(len(x)) > k)))
-            if len(others):
-                others = others[may_link(h[others], h[k], n[others], n[k], percent)]
-            for b in node[others].tolist():
-                one = int(node[k])
-                found.setdefault(min(one, b), set()).add(max(one, b))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last: tuple | None = None
-        found: dict[int, set[int]] = {}
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = batch[["sig", "i", "j"]].to_numpy()
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """Frames of whole cells, with the rows where these begin."""
+        held: list[pd.DataFrame] = []  # of the cell that goes on
+        for frame in frames:
+            x = pd.concat([*held, frame]) if held else frame
+            key = x[["sig", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            ends = [*starts[1:], len(batch)]
-            for s, e in zip(starts, ends, strict=True):
-                if held and tuple(key[s]) != last:
-                    compare(pd.concat(held) if len(held) > 1 else held[0], found)
-                    held = []
-                held.append(batch.iloc[s:e])
-                last = tuple(key[s])
-            if sum(map(len, found.values())) > REMEMBERED:
-                yield pd.DataFrame({"a": list(found), "partners": list(map(list, found.values()))})
-                found = {}
+            held = [x.iloc[starts[-1] :]]
+            if len(starts) > 1:
+                yield x.iloc[: starts[-1]], starts[:-1]
         if held:
-            compare(pd.concat(held) if len(held) > 1 else held[0], found)
+            yield held[0], np.zeros(1, np.int64)
+
+    def compared(x: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of nodes, each smaller one first, that meet in a cell and that the bounds allow."""
+        node, label, n, parent, top, side, i, j = (x[c].to_numpy() for c in ("node", "label", "n", "parent", "top", "side", "i", "j"))
+        h = x["h"].to_numpy()
+        cells = np.fromiter(map(len, h), np.int64, len(h))
+        # a row's partners lie in a row: all after it in its cell or, where two blocks meet, the other block, which comes last
+        sizes = np.diff(starts, append=len(x))
+        end, other = np.repeat(starts + sizes, sizes), np.repeat(starts + sizes - np.add.reduceat(side, starts), sizes)
+        begin = np.where(i == j, np.arange(len(x)) + 1, other)
+        many = np.where((i != j) & (side == 1), 0, end - begin)
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] - many[at] + PAIRS, "right")))
+            count = many[at:to]
+            one = np.repeat(np.arange(at, to), count)
+            two = np.arange(len(one)) + np.repeat(begin[at:to] - (np.cumsum(count) - count), count)
+            at = to
+            ok = (label[one] != label[two]) & (100 * np.minimum(n[one], n[two]) >= percent * np.maximum(n[one], n[two]))
+            one, two = one[ok], two[ok]
+            a, b = node[one], node[two]
+            ok = (a != parent[two]) & (parent[one] != b) & (a != top[two]) & (top[one] != b)
+            one, two, a, b = one[ok], two[ok], np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+            order = np.lexsort((b, a))  # pairs that meet in several buckets are compared once
+            a, b = a[order], b[order]
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            one, two, a, b = one[order[fresh]], two[order[fresh]], a[fresh], b[fresh]
+            least = np.minimum(cells[one], cells[two])
+            keep = np.zeros(len(a), bool)
+            for c in np.unique(least):
+                of_c = np.flatnonzero(least == c)
+                used, where = np.unique(np.concatenate([one[of_c], two[of_c]]), return_inverse=True)
+                folded, where = np.stack([_folded(x, c) for x in h[used]]), where.reshape(2, -1)
+                for k in range(0, len(of_c), 4096):
+                    pick, (left, right) = of_c[k : k + 4096], where[:, k : k + 4096]
+                    keep[pick] = may_link(folded[left], folded[right], n[one[pick]], n[two[pick]], percent)
+            yield a[keep], b[keep]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        found: dict[int, set[int]] = {}
+        for x, starts in whole(_gathered(batches, HISTOGRAMS)):
+            for a, b in compared(x, starts):
+                for one, other in zip(a.tolist(), b.tolist(), strict=True):
+                    found.setdefault(one, set()).add(other)
+                if sum(map(len, found.values())) > REMEMBERED:
+                    yield pd.DataFrame({"a": list(found), "partners": list(map(list, found.values()))})
+                    found = {}
         if found:
             yield pd.DataFrame({"a": list(found), "partners": list(map(list, found.values()))})
 
-    return members.mapInPandas(rows, "a long, partners array<long>")
+    return members.mapInArrow(lambda batches: _sent(rows(batches)), "a long, partners array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -346,7 +395,7 @@ def _bucketed(signed: DataFrame) -> DataFrame:
     # parts enough for a part to be about one 100 * HOT-th of all rows; what sums up to `total` has at most 100 * HOT such signatures
     hot = shown.filter(F.col("shown") > F.lit(max(total / (100 * HOT), LEAST / 32))).select("sig", F.ceil(F.col("shown") / max(total / (100 * HOT), 1)).cast("int").alias("parts"))
     rows = signed.select("node", F.explode("signatures").alias("sig")).select("sig", "node")
-    deal = lambda t: t.repartition(*t.columns[:-1]).sortWithinPartitions(*t.columns).mapInPandas(_buckets, "sig long, salt int, node long, parent long, top long")
+    deal = lambda t: t.repartition(*t.columns[:-1]).sortWithinPartitions(*t.columns).mapInArrow(lambda rows: _sent(_buckets(_gathered(rows, NUMBERS))), "sig long, salt int, node long, parent long, top long")
     if hot.isEmpty():
         return cut(deal(rows).drop("salt"))
     salt = F.coalesce(F.pmod("node", F.col("parts")).cast("int") + 1, F.lit(0))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from arcweft.llm import components as cc
@@ -166,6 +167,91 @@ def test_one_text_has_a_large_share_of_all_rows(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in joined(spark, rows).collect()} == brute(rows)[1]
 
 
+def test_words_of_bytes_are_those_of_characters():
+    odd = ["A\x1cb \x85C\u2003d\u00a0E", "\u0130 \u212a K k \u00c0B", "\x1f a\x0bB\x0cc\td\re\nf ", "\ud800A b", " \n\x0b", "", None]
+    for text in odd:
+        words = ngram_join.FIND((text or "").translate(ngram_join.LOWER))
+        for size in (1, 2, 5):
+            n = min(size, len(words))
+            want = [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)] if words else []
+            assert ngram_join.shingles(text, size).tolist() == sorted({ngram_join.shingles(w, size).tolist()[0] for w in want})
+
+
+class Rows:
+    """Rows in batches of a few, over which an operator's function runs in this process."""
+
+    def __init__(self, frame, step):
+        self.parts = [frame.iloc[i : i + step] for i in range(0, len(frame), step)]
+
+    def mapInPandas(self, function, schema):  # noqa: N802
+        return [*function(iter(self.parts))]
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        return [x.to_pandas() for x in function(pa.RecordBatch.from_pandas(p, preserve_index=False) for p in self.parts)]
+
+
+def cells_of(buckets, blocks, hists, sizes, label):
+    """The members of `_within_buckets`: buckets (lists of nodes) in cells of blocks of nodes, in order."""
+    rows = []
+    for sig, nodes in enumerate(buckets):
+        for node in nodes:
+            for k in range(blocks):
+                i, j = sorted((node % blocks, k))
+                rows.append((i, j, sig, int(i != j and node % blocks == j), node, nodes[0], nodes[0], label(node), hists[node], sizes[node]))
+    rows.sort(key=lambda x: x[:4])
+    return pd.DataFrame(rows, columns=["i", "j", "sig", "side", "node", "parent", "top", "label", "h", "n"])
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 17])
+def test_pairs_within_cells(monkeypatch, step, blocks, pairs):
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "HISTOGRAMS", 40)
+    r = np.random.default_rng(step + blocks)
+    base = r.integers(0, 2**63, 140).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: r.integers(90, 140)], r.integers(0, 2**63, int(r.integers(0, 25))).astype(np.uint64)])) for _ in range(24)]
+    hists, sizes = [ngram_join.histogram(s) for s in sets], [len(s) for s in sets]
+    buckets = [sorted(r.choice(24, int(r.integers(2, 24)), replace=False).tolist()) for _ in range(12)]
+    label = lambda x: x % 5
+    found = ngram_join._within_buckets(Rows(cells_of(buckets, blocks, hists, sizes, label), step), 80)
+    got = {(a, b) for x in found for a, bs in zip(x["a"], x["partners"], strict=True) for b in bs}
+
+    def allowed(a, b):
+        c = min(len(hists[a]), len(hists[b]))
+        one, other = (ngram_join._folded(hists[x], c)[None] for x in (a, b))
+        return label(a) != label(b) and ngram_join.may_link(one, other, np.array([sizes[a]]), np.array([sizes[b]]), 80)[0]
+
+    met = {(a, b) for nodes in buckets for k, a in enumerate(nodes) for b in nodes[k + 1 :] if k}
+    want = {x for x in met if allowed(*x)}
+    assert got == want and 0 < len(want) < len(met)
+
+
+def test_pairs_that_meet_in_many_buckets_are_not_compared_in_each(monkeypatch):
+    compared, true = [], ngram_join.may_link
+    monkeypatch.setattr(ngram_join, "may_link", lambda a, b, *rest: compared.append(np.broadcast(a, b).shape[0]) or true(a, b, *rest))
+    s = np.unique(np.random.default_rng(5).integers(0, 2**63, 100).astype(np.uint64))
+    buckets = [[*range(12)] for _ in range(40)]
+    found = ngram_join._within_buckets(Rows(cells_of(buckets, 1, [ngram_join.histogram(s)] * 12, [100] * 12, lambda x: x), 50), 80)
+    assert sum(len(bs) for x in found for bs in x["partners"]) == 11 * 10 // 2
+    assert sum(compared) <= 2 * 11 * 10 // 2  # once with all buckets of a frame but the last, which may go on, and once in that
+
+
+def test_signatures_are_not_bound_by_batches_of_texts(spark, monkeypatch):
+    """A task looks at many signatures at once, however few rows the session lets into a batch."""
+    looked = lambda frames: (pd.DataFrame({"sig": [len(x)], "salt": np.zeros(1, np.int32), "node": [0], "parent": [0], "top": [0]}) for x in frames)
+    monkeypatch.setattr(ngram_join, "_buckets", looked)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        signed = spark.range(200).selectExpr("id as node", "sequence(id, id + 99) as signatures", "cast(null as array<long>) as probe")
+        got = [x.sig for x in ngram_join._bucketed(signed).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(got) == 20_000 and len(got) <= 4
+
+
 # --- kNN ---
 
 
