@@ -91,3 +91,15 @@ def test_edges_of_files_that_share_an_id(spark):
     rows = [("@/a", "/p/a.tsx", 0, "y"), ("@/a", "/p/a.ts", 0, "x"), ("@/a", "/p/a.ts", 1, "x")]
     df = spark.createDataFrame(rows, "module_id string, path string, ord int, target string")
     assert [(r.dst, r.ord) for r in graph.edges_of(df).orderBy("ord").collect()] == [("x", 0), ("x", 1), ("y", 2)]
+
+
+def test_levels_leave_out_what_no_edge_leads_to(spark, monkeypatch):
+    edges = [(f"leaf{i}", x) for i in range(60) for x in (f"sink{i}", "a", "b")] + [("a", "c"), ("b", "a"), ("b", "c"), ("c", "d")]
+    df = edges_df(spark, edges)
+    rows, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda d: (out := cut(d), rows.append(out.count()))[0])
+    expected = {(s, d): chain for s in {a for a, _ in edges} for d, chain in bfs(edges, s).items()}
+    back = {(r.src, r.dst): r.chain for r in graph.reaching(df, spark.createDataFrame([("d",)], "dst string")).collect()}
+    assert back == {k: v for k, v in expected.items() if k[1] == "d"} | {("d", "d"): ["d"]}
+    assert {(r.src, r.dst): r.hops for r in graph.distances(df, df.select("src")).collect()} == {k: len(v) - 1 for k, v in expected.items()}
+    assert max(rows) < 60
