@@ -48,9 +48,10 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_project(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """modules (module_id, path) and imports (module_id, path, ord, target, raw_statement) that have these edges."""
-    path = lambda c: F.concat(F.regexp_replace(c, "^@", "/p/src"), F.lit(".ts"))
+    path = lambda c: F.concat(F.when(F.startswith(c, F.lit("@")), F.concat(F.lit("/p/src"), F.substring(c, 2, 2**31 - 1))).otherwise(c), F.lit(".ts"))
     imports = edges.select(F.col("src").alias("module_id"), path(F.col("src")).alias("path"), "ord", F.col("dst").alias("target"), F.concat(F.lit(" import x from '"), "dst", F.lit("'; ")).alias("raw_statement"))
-    return imports.select("module_id", "path").distinct(), imports
+    modules = edges.select(F.col("src").alias("module_id")).distinct()  # a path is a function of the id, and written after
+    return modules.select("module_id", path(F.col("module_id")).alias("path")), imports
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,27 @@ def test_order_counts_and_baseline(spark):
     assert problems.counts(left).first() == (2, 0)
     assert [r[0] for r in problems.baseline_ids(found.union(found)).collect()] == ["book#e#@/app/login", "book#e#@/domain/user", "book#e#@/ui/button"]
     assert problems.compacted(problems.none(spark)).count() == 0
+
+
+def test_plain_rules_need_no_matcher(spark, monkeypatch):
+    from arcweft.operators import enforce as module
+    from arcweft.plans.rulebooks import read_rulebooks
+
+    text = """
+id: b
+name: B
+rules:
+  - {id: kebab, target: "@/{{some-name}}/*", description: "{{TARGET_DIR}} of {{some-name}}, {{no-name}}", fix: "{{ {{some-name}}", forbids: [{import: "@/x/**"}], exists: [{module: "@/y"}]}
+  - {id: none, target: "**", exclude: ["@/b/**"], description: d, fix: f, uses: [{import: "@/*", transitive: "true"}]}
+"""
+    rules = module.Ruleset.of(read_rulebooks([("b.yaml", text)]))
+    modules = spark.createDataFrame([(m, m + ".ts") for m in ("@/a-b/c", "@/b/c", "top", "@/a-b/c/d", "@/A/c")], "module_id string, path string")
+    columns = ["module_id", "path", "rule_no", "prose", "fix", "clauses"]
+    expected = sorted(module.matches(modules, rules).select(*columns).collect(), key=str)
+    assert len(expected) > 4
+
+    def fail(*_):
+        raise AssertionError("left the JVM")
+
+    monkeypatch.setattr(module, "matches", fail)
+    assert sorted(module.targeted(modules, rules).collect(), key=str) == expected
